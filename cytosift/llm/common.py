@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iter
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist() if text else [0] * batch.num_rows
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist() if text else [0] * batch.num_rows
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and (total + n > SLICE_BYTES or i - start >= SLICE_ROWS):
