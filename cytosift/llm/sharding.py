@@ -37,12 +37,16 @@ class SlotMap:
         owner, size = np.array(self.shard, np.int64), np.asarray(size, np.int64)
         load = np.bincount(owner, size, self.shards).astype(np.int64)
         own = [np.flatnonzero((owner == k) & (size > 0)) for k in range(self.shards)]
+        active = np.ones(self.shards, bool)  # a shard from which nothing can be moved to any use is left as it is
         for _ in range(64 * len(owner)):
-            high, low = int(load.argmax()), int(load.argmin())
+            high, low = int(np.where(active, load, -1).argmax()), int(load.argmin())
             gap = load[high] - load[low]
             a, b = own[high], own[low]
-            if gap < 2 or not len(a):
+            if not active[high] or gap < 2:
                 break
+            if not len(a):
+                active[high] = False
+                continue
             # what to move over: a slot of the fullest, less a slot of the emptiest or nothing
             back = np.concatenate(([-1], b))
             less = np.concatenate(([0], size[b]))
@@ -53,7 +57,8 @@ class SlotMap:
             moved = size[a] - less[order][at]
             i = int(abs(2 * moved - gap).argmin())
             if not 0 < moved[i] < gap:
-                break
+                active[high] = False
+                continue
             x, y = a[i], back[order][at[i]]
             owner[x] = low
             own[high], own[low] = a[a != x], np.append(b[b != y], x)

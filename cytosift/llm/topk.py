@@ -129,6 +129,9 @@ def _round(vectors: DataFrame, queries: DataFrame, k: int, leaf: int) -> DataFra
                     rows[2].extend(-int(s) for s, _ in best)
         return pa.table([pa.array(x, pa.int64()) for x in rows], names)
 
+    # both come from one table: columns named anew keep the two apart
+    vectors = vectors.select(*[F.col(c).alias(c) for c in ("shard", "block", "vec_id", "v")])
+    queries = queries.select(*[F.col(c).alias(c) for c in ("shard", "block", "query_id", "v", "kth_score", "kth_id")])
     return vectors.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, keyed, materialize
 
 RECORDS_PER_FILE = 2048
 DATE = "2024-01-01T00:00:00Z"
@@ -48,9 +48,10 @@ def _header(name: str, value: Column) -> Column:
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Archives of pages at path; payloads of under least_bytes bytes are responses all."""
-    html, seq = F.coalesce(pages[payload], F.lit("")), F.monotonically_increasing_id()
-    rows = pages.select(seq.alias("seq"), pages[key].cast("long").alias("page_id"), F.coalesce(pages[url], F.lit("")).alias("url"), html.alias("html")).withColumn("digest", base32_sha1(F.col("html")))
-    # (page id, row) of the response of every payload that occurs more than once; a scan numbers its rows alike each time
+    pages, row, _ = keyed(pages, key)
+    html = F.coalesce(pages[payload], F.lit(""))
+    rows = pages.select(pages[row].alias("seq"), pages[key].cast("long").alias("page_id"), F.coalesce(pages[url], F.lit("")).alias("url"), html.alias("html")).withColumn("digest", base32_sha1(F.col("html")))
+    # (page id, row) of the response of every payload that occurs more than once
     groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(groups.select("digest", "first"), "payloads")
     rows = rows.join(bounded_broadcast(shared, shared.count()), "digest", "left")

