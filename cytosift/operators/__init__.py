@@ -1 +1 @@
-
+"""Relational operators over reads, sites, and intervals."""
