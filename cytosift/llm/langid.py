@@ -74,14 +74,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) from rows of (buckets, values, class)."""
+    """(weights, bias) from rows of (buckets, values, class), the last of which is the bias: bucket BUCKETS, value 1."""
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
     order = np.random.default_rng(0)
 
     def solved(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(abs(z) <= L1, 0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    rows = [(np.append(i, BUCKETS), np.append(v, 1.0), c) for i, v, c in rows]  # the last bucket is the bias
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             index, value, c = rows[k]
@@ -165,13 +164,14 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     sample.sort(key=lambda r: (r.order, r.lang))
     at = {k: i for i, k in enumerate(languages)}
     made = []
-    for r in sample:
+    for r in sample:  # in 32 bits: the sample is the driver's largest holding
         index, count = np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["count"], "<i4").astype(np.float64)
-        made.append((index, tf_idf(index, count, idf), at[r.lang]))
+        made.append((np.append(index, BUCKETS).astype(np.int32), np.append(tf_idf(index, count, idf), 1).astype(np.float32), at[r.lang]))
+    del sample
     aside = made[::5] if len(made) >= 50 else []
     used = [x for i, x in enumerate(made) if i % 5 or not aside]
     weights, bias = ftrl(used, len(languages))
-    logits = np.array([v @ weights[i] + bias for i, v, _ in aside]).reshape(-1, len(languages))
+    logits = np.array([v[:-1] @ weights[i[:-1]] + bias for i, v, _ in aside]).reshape(-1, len(languages))
     return Model(languages, idf, weights, bias, temperature(logits, np.array([c for *_, c in aside], np.int64)))
 
 
