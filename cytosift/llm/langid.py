@@ -201,6 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
-def accepted(prediction: Column, score: Column, least: float = 0.3) -> Column:
-    """Whether a document has a language: it isn't `und`, and its score is over what a guess among a few languages has."""
+def accepted(prediction: Column, score: Column, least: float = 0.0) -> Column:
+    """Whether a document has a language: it isn't `und`, and its score is high enough. By default no score is too low: what makes
+    the score of a short text low is often a number or an address in it, not its language."""
     return (prediction != "und") & (score >= least)
