@@ -12,7 +12,7 @@ from cytosift.llm import common, exact_dedup, langid, near_dup, packing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language can't be told: no text, no letter, or a score like a guess's."""
+    """Drops the documents that have no language: no text or no letter."""
     labelled = docs.select("text", "lang")
     found = langid.identify(docs, langid.fit(labelled), prediction="_lang_pred", score="_score")
     return found.where(langid.accepted(F.col("_lang_pred"), F.col("_score"))).drop("_lang_pred", "_score")
