@@ -8,7 +8,8 @@
    prefixes doubled until they divide it, and, so that depth loses no pair, in pairs of blocks. What comes out is a
    spanning forest of the candidate graph (signatures agree in AGREE positions at least), not its pairs.
 3. The components of the candidate graph are the clusters. Each cluster's texts are read once more, and every pair of its
-   members that is not yet in one component is decided on full sets. Clusters over CLUSTER members are done in pairs of blocks.
+   members that is not yet in one component is decided on full sets. Clusters over CLUSTER members or
+   CLUSTER_SHINGLES shingles are done in pairs of blocks.
 
 With 24 orders of depth 4 a pair of similarity 0.8 shares no region with probability (1 - 0.8^4)^24 = 3e-6, and has
 signatures that agree in under 60 of 96 places with probability 1e-5.
@@ -36,6 +37,8 @@ HASHES, TREES, DEPTH = 96, 24, 4
 AGREE = 60
 REGION = 2048
 CLUSTER = 4096
+#: Shingles of one unit of exact comparison, which bounds its memory whatever the length of the texts.
+CLUSTER_SHINGLES = 4_000_000
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -115,9 +118,10 @@ def _members(reps: DataFrame, region: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """(unit, row, m) of units over the limit -> (unit, row): blocks of about half the limit, in pairs."""
+    """(unit, row, m[, blocks]) of units over the limit -> (unit, row): blocks of about half the limit, in pairs."""
     n = F.ceil(F.col("m") / F.lit(max(1, limit // 2))).cast("int")
-    at = rows.withColumn("blocks", n).withColumn("i", F.pmod(F.xxhash64("row", "unit"), F.col("blocks")).cast("int"))
+    at = rows if "blocks" in rows.columns else rows.withColumn("blocks", n)
+    at = at.withColumn("i", F.pmod(F.xxhash64("row", "unit"), F.col("blocks")).cast("int"))
     paired = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "row")
 
@@ -262,16 +266,18 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(table of row, n, root, docs with a row column, its name): root is one row of each document's component."""
     docs, row, _ = keyed(docs, key)
     sketch = materialize(_sketches(docs, row, text, words), "sketch")
-    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
     reps = classes.select(F.col("rep").alias("row"), "sig")
     links = _forest_links(_members(reps, region), reps)
     clusters = connected_components(links)
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.xxhash64("root").alias("unit"), F.col("node").alias("row"))
-    clusters = materialize(clusters, "clusters")
+    clusters = materialize(clusters.join(classes.select(F.col("rep").alias("row"), "n"), "row").select("unit", "row", "n"), "clusters")
     n = clusters.count()
-    sizes = clusters.groupBy("unit").agg(F.count(F.lit(1)).alias("m"))
-    large = materialize(sizes.where(F.col("m") > cluster), "large")
+    sizes = clusters.groupBy("unit").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(2 * F.col("m") / F.lit(cluster)), F.ceil(2 * F.col("shingles") / F.lit(CLUSTER_SHINGLES))).cast("int")
+    large = materialize(sizes.where((F.col("m") > cluster) | (F.col("shingles") > CLUSTER_SHINGLES)).select("unit", "m", blocks.alias("blocks")), "large")
+    clusters = clusters.drop("n")
     if large.isEmpty():
         exact = materialize(_exact_links(clusters, docs, row, text, words, percent, bounded_broadcast(clusters, n) is not clusters), "exact")
         labels = exact.select(F.col("a").alias("rep"), F.col("b").alias("root"))
@@ -294,7 +300,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         rooted = rooted.withColumn("key", F.col("row"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    whole = rooted.join(least.select("root", "component_id"), "root", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    least = materialize(least.select("root", "component_id"), "components")  # a table, so that the join can split a hot root
+    whole = rooted.join(bounded_broadcast(least, least.count()), "root", "left").withColumn("component_id", F.coalesce("component_id", "key"))
     return whole.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.equal_null("key", "component_id").alias("kept"))
 
 
@@ -307,7 +314,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         rooted = rooted.withColumn("key", F.col("row"))
     rooted = materialize(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("best"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    gone = rooted.join(best, "root").where(F.col("best.row") != F.col("row")).select(F.col("row").alias(row))
+    best = materialize(best, "components")
+    gone = rooted.join(bounded_broadcast(best, best.count()), "root").where(F.col("best.row") != F.col("row")).select(F.col("row").alias(row))
     gone = materialize(gone, "near_copies")
     kept = docs.join(bounded_broadcast(gone, gone.count()), row, "left_anti")
     return kept.drop(row) if row != key else kept
