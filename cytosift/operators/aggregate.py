@@ -49,4 +49,4 @@ def bias(calls: DataFrame) -> DataFrame:
     """(strand, read, position, n_meth, n_unmeth): calls by place in the read, from 1, in the order of the alignment."""
     own = calls.where("own AND call <> 0")
     sums = own.groupBy("strand", "read_no", "qpos").agg(F.count_if(F.col("call") == 1).alias("n_meth"), F.count_if(F.col("call") == -1).alias("n_unmeth"))
-    return sums.select(strand_name(F.col("strand")).alias("strand"), F.col("read_no").alias("read"), (F.col("qpos") + 1).alias("position"), "n_meth", "n_unmeth")
+    return sums.select(strand_name(F.col("strand")).alias("strand"), F.col("read_no").alias("read"), (F.col("qpos") + 1).cast("long").alias("position"), "n_meth", "n_unmeth")

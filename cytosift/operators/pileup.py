@@ -67,14 +67,14 @@ def at_sites(reads: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
     return rows
 
 
-def selected(reads: DataFrame, genome: DataFrame, options: ReadOptions, regions: DataFrame | None = None, mappability: DataFrame | None = None) -> DataFrame:
-    """Reads that pass all filters, trimmed, not yet laid; order: own columns, regions, mappability, conversion, then trimming."""
+def selected(reads: DataFrame, genome: DataFrame, options: ReadOptions, regions: DataFrame | None = None, mappability: DataFrame | None = None, span: tuple[str, int, int | None] | None = None) -> DataFrame:
+    """Reads that pass all filters, trimmed, not yet laid; order: own columns, overlap of a span, regions, mappability, conversion, then trimming."""
     out = aligned(filter_reads(reads, options))
-    if options.region is not None:
-        chrom, start, end = options.region
+    if span is not None:
+        chrom, start, end = span
         out = out.where((F.col("chrom") == chrom) & (F.col("ref_end") > start))
         if end is not None:
-            out = out.where(F.col("pos") < end + 2)
+            out = out.where(F.col("pos") < end)
     if regions is not None:
         out = reads_in_regions(out, regions)
     if mappability is not None:
@@ -103,14 +103,15 @@ def converted(reads: DataFrame, genome: DataFrame, options: ReadOptions) -> Data
 def base_calls(reads: DataFrame, genome: DataFrame, options: ReadOptions, contexts: tuple[str, ...], regions: DataFrame | None = None, mappability: DataFrame | None = None, mates: bool = True, positions: bool = False) -> DataFrame:
     """Base calls of enough quality at wanted sites: chrom, pos, ref, context, tnc, strand, read_no, base, own (speaks of methylation), call, variant."""
     from .intervals import region_of_positions
-    from .sites import within
+    from .sites import region_span, within
 
-    wanted = within(sites(genome, contexts), genome, options.region).select("chrom", "pos", "base", "context", "tnc")
+    span = region_span(genome, options.region)
+    wanted = within(sites(genome, contexts), span).select("chrom", "pos", "base", "context", "tnc")
     more = ["tnc"]
     if regions is not None:
         wanted = region_of_positions(wanted, regions)
         more.append("region_strand")
-    ready = laid(selected(reads, genome, options, regions, mappability).select("read_id", "qname", "flag", "chrom", "pos", "ref_end", "strand", "cigar", "seq", "qual"), positions)
+    ready = laid(selected(reads, genome, options, regions, mappability, span).select("read_id", "qname", "flag", "chrom", "pos", "ref_end", "strand", "cigar", "seq", "qual"), positions)
     if mates:
         ready = with_mates(ready)
     rows = at_sites(ready, binned(wanted, *more), small_genome(genome)).where(F.col("qual") >= options.min_phred)

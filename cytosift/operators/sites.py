@@ -34,21 +34,26 @@ def sites(genome: DataFrame, contexts: tuple[str, ...] = ("CpG", "CHG", "CHH"))
     return out if len(contexts) == 3 else out.where(F.col("context").isin(*contexts))
 
 
-def within(found: DataFrame, genome: DataFrame, region: tuple[str, int, int | None] | None) -> DataFrame:
-    """Sites of a region. Its end is moved so that a CpG or CHG isn't split: by 2 where its last base is C and the second base after it G,
-    else by 1 where the base after it is G. Its start stays."""
-    if region is None:
-        return found
+def region_span(genome: DataFrame, region: tuple[str, int, int | None] | None) -> tuple[str, int, int | None] | None:
+    """The region with its end moved so that a CpG or CHG isn't split: by 2 where its last base is C and the second base after
+    it G, else by 1 where the base after it is G. Its start stays. Looks up one chunk."""
+    if region is None or region[2] is None:
+        return region
     chrom, start, end = region
-    found = found.where((F.col("chrom") == chrom) & (F.col("pos") >= start))
-    if end is None:
-        return found
     chunk = genome.where((F.col("chrom") == chrom) & (F.col("start") <= end - 1) & (F.col("start") + F.length("seq") - 2 * MARGIN > end - 1))
     last = chunk.select(F.upper(F.substring("seq", F.lit(end) - F.col("start") + MARGIN, F.lit(3))).alias("s")).first()
     s = last.s if last else ""
     # s: the region's last base and the two after it
-    more = 2 if s[:1] == "C" and s[2:3] == "G" else 1 if s[1:2] == "G" else 0
-    return found.where(F.col("pos") < end + more)
+    return chrom, start, end + (2 if s[:1] == "C" and s[2:3] == "G" else 1 if s[1:2] == "G" else 0)
+
+
+def within(found: DataFrame, span: tuple[str, int, int | None] | None) -> DataFrame:
+    """Sites of a span."""
+    if span is None:
+        return found
+    chrom, start, end = span
+    found = found.where((F.col("chrom") == chrom) & (F.col("pos") >= start))
+    return found if end is None else found.where(F.col("pos") < end)
 
 
 def binned(found: DataFrame, *more: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.calls import fraction, logit, percent, printf
 from ..functions.context import report_context
 from ..operators.aggregate import covered, is_variant, merged, per_site
 from ..operators.pileup import base_calls
-from ..operators.sites import contigs, sites, within
+from ..operators.sites import contigs, region_span, sites, within
 from ..options import ExtractOptions
 
 
@@ -50,7 +50,7 @@ def project(rows: DataFrame, output: str) -> DataFrame:
 
 def cytosine_report(found: DataFrame, genome: DataFrame, options: ExtractOptions, regions: DataFrame | None = None) -> DataFrame:
     """Every cytosine of the wanted contexts (within the regions, if any), covered or not; what the variant filter takes counts 0."""
-    wanted = within(sites(genome, options.contexts), genome, options.region)
+    wanted = within(sites(genome, options.contexts), region_span(genome, options.region))
     if regions is not None:
         from ..operators.intervals import region_of_positions
 

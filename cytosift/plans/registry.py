@@ -32,7 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.reads(_table(spark, sf_dir, "lineitem"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    cores = spark.sparkContext.defaultParallelism
+    # a table of one small file would be read, and its reads made, by one task
+    return synth.reads(lines if lines.rdd.getNumPartitions() >= cores else lines.repartition(cores))
 
 
 def query(oracle: str):
@@ -98,9 +101,10 @@ def cigar_explode(spark, sf_dir):
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("qpos").alias("s_qpos"), F.sum("ref_pos").alias("s_ref"), F.sum(F.col("qpos") * F.col("ref_pos")).alias("s_both"), F.sum("qual").alias("s_qual"))
 
 
-@query(f"WITH {sql.GENOME}, {sql.READS}, {sql.kept()}, {sql.bases()}, {sql.calls('bases', contexts=repr('CpG') + ',' + repr('CHG') + ',' + repr('CHH'))} SELECT chrom, context, own, call, variant, count(*) AS n FROM (SELECT chrom, context, own, CASE WHEN own THEN call END AS call, CASE WHEN NOT own THEN variant END AS variant FROM calls) GROUP BY ALL")
+@query(f"WITH {sql.GENOME}, {sql.READS}, {sql.kept()}, {sql.bases()}, {sql.calls('bases', contexts=repr('CpG') + ',' + repr('CHG') + ',' + repr('CHH'))} SELECT chrom, context, own, call, variant, count(*) AS n FROM (SELECT chrom, context, own, CASE WHEN own THEN call ELSE 0 END AS call, NOT own AND variant AS variant FROM calls) GROUP BY ALL")
 def base_call_classify(spark, sf_dir):
     rows = base_calls(_reads(spark, sf_dir), synth.genome(spark), ReadOptions(), ALL, mates=False)
+    rows = rows.withColumns({"call": F.coalesce("call", F.lit(0)), "variant": F.coalesce("variant", F.lit(False))})
     return rows.groupBy("chrom", "context", "own", "call", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -231,7 +235,8 @@ def bed_stranded(spark, sf_dir):
 
 
 _END = f"(SELECT {REGION[2]} + CASE WHEN l.base = 'C' AND n2.base = 'G' THEN 2 WHEN n1.base = 'G' THEN 1 ELSE 0 END FROM g l, g n1, g n2 WHERE l.chrom = '{REGION[0]}' AND n1.chrom = l.chrom AND n2.chrom = l.chrom AND l.pos = {REGION[2] - 1} AND n1.pos = {REGION[2]} AND n2.pos = {REGION[2] + 1})"
-_extract("region_extract", ExtractOptions(contexts=("CpG", "CHG"), region=REGION), f"{sql.counted(repr('CpG') + ', ' + repr('CHG'))} SELECT {sql.ROW}, {sql.PCT}, n_meth, n_unmeth FROM site {_LIVE} AND chrom = '{REGION[0]}' AND pos >= {REGION[1]} AND pos < {_END}")
+_NEAR = f"passed AS (SELECT * FROM kept WHERE chrom = '{REGION[0]}' AND ref_end > {REGION[1]} AND pos < {_END})"
+_extract("region_extract", ExtractOptions(contexts=("CpG", "CHG"), region=REGION), f"{sql.counted(repr('CpG') + ', ' + repr('CHG'), before=_NEAR)} SELECT {sql.ROW}, {sql.PCT}, n_meth, n_unmeth FROM site {_LIVE} AND chrom = '{REGION[0]}' AND pos >= {REGION[1]} AND pos < {_END}")
 
 
 @query(f"""WITH {sql.READS}, {sql.kept()}, {sql.TRACK},

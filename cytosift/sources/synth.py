@@ -1,9 +1,12 @@
 """Alignments, a genome and tracks made from the driver's tables by integer arithmetic, so that SQL can make the same.
 
-Reads are rows of lineitem, regions of part, mappability of orders; the genome is a closed form."""
+Reads are rows of lineitem, regions of part, mappability of orders; the genome is a closed form. The letters of reads are made in
+Arrow batches, as a file reader would make them; LETTER and QUAL state the same rule for SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +39,39 @@ def genome(spark: SparkSession) -> DataFrame:
     return chunks.select("tid", F.concat(F.lit("chr"), F.col("tid") + 1).alias("chrom"), F.lit(LENGTH).cast("long").alias("length"), "start", letters.alias("seq"))
 
 
+def _grid(columns: tuple[pa.Array, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns as n x 1, read positions as 1 x longest, which of the grid's cells are in a read)."""
+    cols = [np.asarray(c).astype(np.int64)[:, None] for c in columns]
+    n = cols[4]
+    i = np.arange(int(n.max()) if len(n) else 0)[None, :]
+    return cols, i, i < n
+
+
+def _letters(o: pa.Array, ln: pa.Array, pk: pa.Array, sk: pa.Array, n: pa.Array, pos: pa.Array, tid: pa.Array) -> pa.Array:
+    """LETTER of every read position, by batch."""
+    (o, ln, pk, sk, n, pos, tid), i, there = _grid((o, ln, pk, sk, n, pos, tid))
+    acgt = np.frombuffer(b"ACGT", np.uint8)
+    h = (o * 31 + ln * 17 + pk * 7 + sk * 3 + i * i * 5 + i * 13) % 97
+    p = pos + i
+    g = acgt[(p * p * 7 + p * 31 + (p // 3) * (p // 7) * 5 + tid * 13) % 101 % 4]
+    kept, even = h % 3 == 0, o % 2 == 0
+    out = np.where(even & (g == ord("C")) & ~kept, ord("T"), np.where(~even & (g == ord("G")) & ~kept, ord("A"), g))
+    out = np.where(h < 4, ord("N"), np.where(h < 8, acgt[h % 4], out)).astype(np.uint8)
+    ends = np.concatenate(([0], np.cumsum(n.ravel()))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(out[there].tobytes()))
+
+
+def _quals(o: pa.Array, ln: pa.Array, pk: pa.Array, sk: pa.Array, n: pa.Array, pos: pa.Array, tid: pa.Array) -> pa.Array:
+    """QUAL of every read position, by batch."""
+    (o, ln, pk, sk, n, pos, tid), i, there = _grid((o, ln, pk, sk, n, pos, tid))
+    ends = np.concatenate(([0], np.cumsum(n.ravel()))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(((o + ln * 3 + pk + i * 7) % 41)[there].astype(np.int32)))
+
+
 def reads(lineitem: DataFrame) -> DataFrame:
     """One alignment per row: the CIGAR is nM, 10M2I(n-12)M or 5S10M3D(n-15)M by line number."""
     keys = lineitem.selectExpr(*[f"{v} AS {k}" for k, v in READ.items()])
     keys = keys.selectExpr("*", f"{POS} AS pos", "o % 5 AS tid")
-    g, h = BASE.format(p="(pos + i)", t="tid", div="div"), HASH.format(i="i")
     ops: dict[int, list[tuple[str, str]]] = {0: [("M", "n")], 1: [("M", "10"), ("I", "2"), ("M", "n - 12")], 2: [("S", "5"), ("M", "10"), ("D", "3"), ("M", "n - 15")]}
 
     def cigar(parts: list[tuple[str, str]]) -> str:
@@ -50,9 +81,10 @@ def reads(lineitem: DataFrame) -> DataFrame:
     made = keys.selectExpr(
         "((o*8 + ln)*200003 + pk)*10007 + sk AS read_id", "CAST(o AS STRING) AS qname", f"CAST({FLAG} AS INT) AS flag", "concat('chr', tid + 1) AS chrom", "pos",
         "CAST(pk % 60 AS INT) AS mapq", f"{chosen} AS cigar", "concat('chr', tid + 1) AS mate_chrom", "(pos + 20) % 3910 AS mate_pos", f"{XG} AS xg", f"CAST({NH} AS INT) AS nh",
-        # as a generator's row, so that the planner computes the letters once and after the filters on what stands before
-        f"inline(array(named_struct('seq', array_join(transform(sequence(0L, n - 1), i -> {LETTER.format(h=h, g=g)}), ''), 'qual', transform(sequence(0L, n - 1), i -> CAST({QUAL.format(i='i')} AS INT)))))",
+        "o", "ln", "pk", "sk", "n", "tid",
     )
+    keys = [F.col(c) for c in ("o", "ln", "pk", "sk", "n", "pos", "tid")]
+    made = made.withColumns({"seq": F.arrow_udf(_letters, "string")(*keys), "qual": F.arrow_udf(_quals, "array<int>")(*keys)})
     return made.select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "mate_chrom", "mate_pos", "xg", "nh")
 
 
