@@ -7,7 +7,8 @@ a fifth of them is set aside to fit one temperature that calibrates the scores.
 
 Cases: a null text or one without any letter is `und` with score 0; so is every text if there are no training rows; a row
 without label takes no part in training; a null key is not held out; repeated rows count each; ties go to the language first in
-order; an empty table gives an empty one; extra columns are kept by `identify`.
+order; an empty table gives an empty one; extra columns are kept by `identify`, but
+for those with the names of its two, which it replaces.
 """
 
 from __future__ import annotations
@@ -176,9 +177,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns."""
-    if clash := {prediction, score} & set(docs.columns):
-        raise ValueError(f"docs already has {sorted(clash)}")
+    """docs with two more columns; columns that have these names already are replaced."""
+    docs = docs.drop(prediction, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights: its size doesn't follow the corpus
     at = docs.columns.index(text)
 

@@ -90,6 +90,31 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op5_near_dup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END) AS s FROM w),
+        c AS (SELECT doc_id, count(*) AS n, bit_xor(hash(s)) AS x, sum(hash(s)) AS y FROM s GROUP BY doc_id),
+        reps AS (SELECT min(doc_id) AS rep, n FROM c GROUP BY n, x, y),
+        rs AS (SELECT rep, n, hash(s) AS h FROM s JOIN reps ON s.doc_id = rep),
+        rare AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY df, h) AS k FROM (SELECT *, count(*) OVER (PARTITION BY h) AS df FROM rs)),
+        prefix AS (SELECT rep, n, h FROM rare WHERE df > 1 AND k <= n - ceil(n * 0.8) + 1),
+        near AS (SELECT DISTINCT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.h = b.h AND a.rep < b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        links AS (SELECT a, b FROM near JOIN rs x ON x.rep = a JOIN rs y ON y.rep = b AND x.h = y.h GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+        both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT rep, rep AS other FROM reps UNION SELECT r.rep, e.b FROM reach r JOIN both_ e ON r.other = e.a),
+        root AS (SELECT rep, min(other) AS root FROM reach GROUP BY rep),
+        label AS (SELECT c.doc_id, c.n, root FROM c JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY n, x, y) AS rep FROM c) m USING (doc_id) JOIN root USING (rep))
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept
+        FROM documents d LEFT JOIN label USING (doc_id)""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT *, [('0x' || substr(h, 1 + 10 * i, 10))::BIGINT FOR i IN range(4)] AS v FROM p)
+        SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v[1 + k // 8] >> (35 - 5 * (k % 8))) & 31))::INT, 1) FOR k IN range(32)], '') AS payload_digest,
+            CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+        FROM b WINDOW g AS (PARTITION BY h)""",
     "op7_chat_tree": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -132,8 +132,8 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "yy"]
     none = langid.identify(docs, langid.fit(docs.where("lang IS NULL AND text = 'x'")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.identify(docs.withColumn("score", F.lit(1)), model)
+    again = langid.identify(docs.withColumn("score", F.lit("x")), model)
+    assert again.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and again.schema["score"].dataType.simpleString() == "double"
     wrong = langid.identify(docs.withColumn("lang", F.lit("xx")), model).where("doc_id < 900")
     assert {r.doc_id: r.lang_pred for r in wrong.collect()} == {i: got[i].lang_pred for i, *_ in rows}  # the label is no input
 
