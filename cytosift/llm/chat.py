@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_batches, materialize
 from .packing import encoding
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -76,7 +76,7 @@ def conversations_of(rows: DataFrame) -> DataFrame:
                 paths.append(b"".join(path))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(paths, pa.binary()), batch.column("turns")], ["conv_id", "path", "turns"])
 
-    return whole.mapInArrow(run, "conv_id long, path binary, turns array<struct<turn:long,role:string,text:string>>")
+    return by_batches(whole).mapInArrow(run, "conv_id long, path binary, turns array<struct<turn:long,role:string,text:string>>")
 
 
 class Pack:
@@ -182,4 +182,4 @@ def read_back(packs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     out.append((conv["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n else pa.int64()) for c, n in zip(zip(*out, strict=True), names, strict=True)], names)
 
-    return packs.mapInArrow(run, ", ".join(f"{n} {'string' if 'sha' in n else 'long'}" for n in names))
+    return by_batches(packs).mapInArrow(run, ", ".join(f"{n} {'string' if 'sha' in n else 'long'}" for n in names))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker holds as one sub-batch.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = "4m"
 #: Rows up to which a table of keys may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -42,12 +44,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what the JVM and a Python worker hold as one Arrow batch; long texts make the default of 10,000 rows too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(table: DataFrame) -> None:
+    """Removes a table that `materialize` wrote and nothing will read again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded to BATCH_BYTES where they have Spark's own much larger bound. The bound on rows
+    alone would let long texts fill an executor, in the JVM and in each of its Python workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in (None, "67108864b"):
+        conf.set(name, BATCH_BYTES)
+    return df
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iterator[pa.RecordBatch]:

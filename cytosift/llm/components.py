@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of two different nodes each -> (node, root) of every node but the roots; a root is its component's least node.
 
-    Each round is written to the shared folder, so a lost executor repeats one round at most. Rounds grow as the
+    Each round is written to the shared folder, so a lost executor repeats one round at most; the table of the round before is then removed. Rounds grow as the
     logarithm of the longest path."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = _state(edges)
     while True:
-        edges = materialize(_small(_large(edges)), "links")
+        last, edges = edges, materialize(_small(_large(edges)), "links")
         after = _state(edges)
+        discard(last)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after

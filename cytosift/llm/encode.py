@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import gather, text_encoder
-from .common import slices
+from .common import by_batches, slices
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,4 +72,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_i
 
 
 def _two(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return by_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, keyed, materialize
+from .common import bounded_broadcast, by_batches, keyed, materialize
 
 COUNTERS = 512
 CANDIDATES = 512
@@ -35,7 +35,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             out = [hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").lower()).digest() for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "digest"])
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, digest binary")
+    return by_batches(docs.select(docs[key].alias("key"), docs[text].alias("text"))).mapInArrow(run, f"key {kind}, digest binary")
 
 
 class MisraGries:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_batches
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1500
@@ -129,7 +131,7 @@ def _frequencies(rows: DataFrame) -> DataFrame:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == BUCKETS, -1, at)), pa.array(seen[at])], ["bucket", "n"])
 
-    return rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return by_batches(rows.select("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _featured(rows: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             found = [ngrams(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["lang", "order", "index", "count"])
 
-    return rows.select("lang", "order", "text").mapInArrow(run, "lang string, order long, index binary, count binary")
+    return by_batches(rows.select("lang", "order", "text")).mapInArrow(run, "lang string, order long, index binary, count binary")
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -198,7 +200,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
                 value.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(value, pa.float64())], [*batch.schema.names, prediction, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return by_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def accepted(prediction: Column, score: Column, least: float = 0.0) -> Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, keyed, materialize
+from .common import bounded_broadcast, by_batches, keyed, materialize
 from .components import connected_components
 
 HASHES, TREES, DEPTH = 96, 24, 4
@@ -83,7 +83,7 @@ def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 sig.append(signature(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["row", "n", "digest", "sig"])
 
-    return docs.select(docs[key].alias("row"), docs[text].alias("text")).mapInArrow(run, f"row {kind}, n long, digest binary, sig binary")
+    return by_batches(docs.select(docs[key].alias("row"), docs[text].alias("text"))).mapInArrow(run, f"row {kind}, n long, digest binary, sig binary")
 
 
 def _prefix(depth: int):

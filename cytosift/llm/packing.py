@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import materialize, slices
+from .common import by_batches, materialize, slices
 
 CAPACITY = 1024
 BUCKETS = 32
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: i
             yield pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.list_(pa.int32()))] * with_ids, ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = f"key {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return by_batches(docs.select(docs[key].alias("key"), docs[text].alias("text"))).mapInArrow(run, schema)
 
 
 def patterns(have: np.ndarray, capacity: int) -> np.ndarray:

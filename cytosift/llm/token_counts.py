@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import by_batches, slices
 from .packing import encoding
 
 RULES = ("first", "last", "most")
@@ -82,4 +82,4 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
                     c.append(v)
             yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c), pa.int64()) for c in cols)], names)
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{x} long" for x in names[1:])).withColumnRenamed("key", key)
+    return by_batches(docs.select(docs[key].alias("key"), docs[text].alias("text"))).mapInArrow(run, f"key {kind}, " + ", ".join(f"{x} long" for x in names[1:])).withColumnRenamed("key", key)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, keyed, materialize
+from .common import bounded_broadcast, by_batches, keyed, materialize
 
 RECORDS_PER_FILE = 2048
 DATE = "2024-01-01T00:00:00Z"
@@ -134,7 +134,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
+    return by_batches(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
