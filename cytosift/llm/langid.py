@@ -2,11 +2,11 @@
 
 Document frequencies are counted over all training rows, whole texts, on the executors. The classifier is fitted on the
 driver by follow-the-regularised-leader (proximal, per coordinate) with an elastic net: L1 leaves most weights at zero, L2
-shrinks the rest. It takes at most PER_LANGUAGE labelled rows of each language, those of least hash, a documented bound;
+shrinks the rest. It takes at most PER_LANGUAGE different labelled texts of each language, those of least hash, a documented bound;
 a fifth of them is set aside to fit one temperature that calibrates the scores. Prediction is a narrow pass over whole texts.
 
 Cases: a null text or one without any letter is `und` with score 0; so is every text if there are no training rows; a row
-without label takes no part in training; a null key is not held out; repeated rows count each; ties go to the language first in
+without label takes no part in training; a null key is not held out; repeated rows count each in the frequencies and once in the fit; ties go to the language first in
 order; an empty table gives an empty one; extra columns are kept by `identify`, but
 for those with the names of its two, which it replaces.
 """
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     # rows of least hash: first by a threshold that leaves a little over the bound, then exactly
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_language / n + 20 / n))) for k, n in sizes.items()])
     rows = rows.withColumn("order", F.xxhash64("text")).where((F.shiftrightunsigned("order", 11) / F.lit(float(2**53))) < share)
+    rows = rows.dropDuplicates(["lang", "order"])  # else a large group of copies could fill the sample
     first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     sample = _featured(rows).withColumn("rank", first).where(F.col("rank") <= per_language).drop("rank").collect()  # per_language rows a language
     sample.sort(key=lambda r: (r.order, r.lang))
