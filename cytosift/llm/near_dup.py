@@ -12,7 +12,7 @@
    CLUSTER_SHINGLES shingles are done in pairs of blocks.
 
 With 24 orders of depth 4 a pair of similarity 0.8 shares no region with probability (1 - 0.8^4)^24 = 3e-6, and has
-signatures that agree in under 60 of 96 places with probability 1e-5.
+signatures that agree in under 60 of 96 places with probability 2.2e-5.
 
 Cases: null texts and texts without words have an empty set and no link; texts of fewer words than a shingle have one
 shingle, the whole sequence; long texts are taken whole; repeated rows fall in one class; keys may be null or repeated
