@@ -108,6 +108,7 @@ def merged(live: str = "n_meth + n_unmeth > 0") -> str:
 
 
 REGIONS = "regions AS (SELECT " + ", ".join(x.format(text="VARCHAR") for x in synth.REGION) + f" FROM part WHERE {synth.REGION_ROWS})"
+EVERY_REGION = "regions AS (SELECT " + ", ".join(x.format(text="VARCHAR") for x in synth.EVERY_REGION) + " FROM part)"
 TRACK = f"""track AS (
     SELECT 'chr' || (o_orderkey % 5 + 1)::VARCHAR AS chrom, ((o_orderkey // 5) % {synth.LENGTH // 50}) * 50 AS start, start + 50 AS "end", (sum(o_custkey % 101) % 101)::INT AS value
     FROM orders GROUP BY ALL)"""

@@ -97,6 +97,16 @@ def regions(part: DataFrame) -> DataFrame:
     return part.where(REGION_ROWS).selectExpr(*[x.format(text="STRING").replace('"end"', "end") for x in REGION])
 
 
+#: Of all parts, on every contig. Starts lie in the first 600 of each 1,000 positions, so that gaps stay whatever the number of parts.
+EVERY_START = "CAST((p_partkey*53) % 3900 - (p_partkey*53) % 3900 % 1000 + (p_partkey*53) % 3900 % 1000 % 600 AS BIGINT)"
+EVERY_REGION = [REGION[0], f"{EVERY_START} AS start", f'{EVERY_START} + 20 + p_size AS "end"', REGION[3]]
+
+
+def every_region(part: DataFrame) -> DataFrame:
+    """A region of every part row; `regions` are of one in 20, all on chr1."""
+    return part.selectExpr(*[x.format(text="STRING").replace('"end"', "end") for x in EVERY_REGION])
+
+
 def mappability(orders: DataFrame) -> DataFrame:
     """Runs of 50 positions, each with a value from the orders that fall on it."""
     keys = orders.selectExpr("CAST(o_orderkey % 5 + 1 AS STRING) AS c", f"(o_orderkey div 5) % {LENGTH // 50} AS run", "CAST(o_custkey % 101 AS INT) AS v")
