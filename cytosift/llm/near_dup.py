@@ -3,9 +3,10 @@
 1. One pass over the texts makes each document's set of hashed word shingles, its digest, and a signature of HASHES minima.
    Documents with one set form a class, of which one represents all.
 2. The forest has TREES sorted orders of the signatures: order t is that of the signature rotated by t * DEPTH positions.
-   A region of an order is a run with a common prefix of at least DEPTH values. Within a region the neighbours by longest
-   common prefix, then the others, are compared by signature; a region of over REGION members is searched deeper, by
-   prefixes doubled until they divide it, and, so that depth loses no pair, in pairs of blocks. What comes out is a
+   A region of an order is a run with a common prefix of at least DEPTH values, and is sorted by that order. Its neighbours, which
+   have the longest common prefixes, are compared by signature first, then the runs of linked neighbours among each other.
+   A region of over REGION members is divided by prefixes doubled until its parts are small enough; what of it these
+   parts don't join into one component is then done in pairs of blocks, so that depth loses no pair. What comes out is a
    spanning forest of the candidate graph (signatures agree in AGREE positions at least), not its pairs.
 3. The components of the candidate graph are the clusters. Each cluster's texts are read once more, and every pair of its
    members that is not yet in one component is decided on full sets. Clusters over CLUSTER members or
@@ -86,93 +87,138 @@ def _sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return by_batches(docs.select(docs[key].alias("row"), docs[text].alias("text"))).mapInArrow(run, f"row {kind}, n long, digest binary, sig binary")
 
 
+def _turned():
+    """Each tree's rotated signature."""
+    return F.concat(F.expr(f"substring(sig, 1 + {2 * DEPTH} * tree)"), F.expr(f"substring(sig, 1, {2 * DEPTH} * tree)"))
+
+
 def _prefix(depth: int):
     """The hashed prefix of each tree's rotated signature."""
-    turned = F.concat(F.expr(f"substring(sig, 1 + {2 * DEPTH} * tree)"), F.expr(f"substring(sig, 1, {2 * DEPTH} * tree)"))
-    return F.xxhash64("tree", F.lit(depth), turned.substr(1, 2 * depth))
+    return F.xxhash64("tree", F.lit(depth), _turned().substr(1, 2 * depth))
 
 
-def _members(reps: DataFrame, region: int) -> DataFrame:
-    """(unit, row): members of regions of 2 to `region` rows, and blocks of larger ones."""
-    level = reps.select("row", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+def _members(reps: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """(unit, row, tree) of regions of 2 to `region` rows, each at the least depth that makes it so small; and
+    (unit, row, tree, m) of the larger regions of depth DEPTH, if there are any."""
+    level = reps.select("row", "sig", F.explode(F.expr(f"sequence(0Y, {TREES - 1}Y)")).alias("tree"))
     keys = level.select("row", "tree", _prefix(DEPTH).alias("unit"))
     counts = materialize(keys.groupBy("unit").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "regions")
     members = keys.join(counts, "unit")
-    out = members.where(F.col("m") <= region).select("unit", "row")
+    out = members.where(F.col("m") <= region).select("unit", "row", "tree")
     dense = counts.where(F.col("m") > region)
     depth = DEPTH
     if dense.isEmpty():
-        return out
-    tied = members.where(F.col("m") > region).select("row", "tree", "unit", "m")
-    # pairs of blocks: every pair of members meets in one unit at least
-    out = out.union(_blocks(tied.select("unit", "row", "m"), region))
+        return out, None
+    tied = members.where(F.col("m") > region).select("unit", "row", "tree", "m")
+    large = tied
     while not dense.isEmpty() and depth < HASHES:
         depth = min(2 * depth, HASHES)
         tied = materialize(tied.select("row", "tree").join(reps.select("row", "sig"), "row").select("row", "tree", _prefix(depth).alias("unit")), "deeper")
         counts = tied.groupBy("unit").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         deeper = tied.join(counts, "unit")
-        out = out.union(deeper.where(F.col("m") <= region).select("unit", "row"))
+        out = out.union(deeper.where(F.col("m") <= region).select("unit", "row", "tree"))
         tied = deeper.where(F.col("m") > region)
         dense = counts.where(F.col("m") > region)
-    return out
+    return out, large
+
 
+def _open_blocks(large: DataFrame, found: DataFrame, region: int) -> DataFrame:
+    """(unit, row, tree, known): pairs of blocks of the large regions that the components found so far (node, root) leave open.
+    Every pair of a region's members meets in one unit at least, unless the whole region is one component; known is a row's component."""
+    known = large.join(found.select(F.col("node").alias("row"), "root"), "row", "left").select("unit", "row", "tree", "m", F.coalesce("root", "row").alias("known"))
+    left = known.groupBy("unit").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least <> most")
+    return _blocks(known.join(left.select("unit"), "unit", "left_semi").withColumn("known", F.xxhash64("known")), region, "tree", "known")
 
-def _blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """(unit, row, m[, blocks]) of units over the limit -> (unit, row): blocks of about half the limit, in pairs."""
+
+def _blocks(rows: DataFrame, limit: int, *also: str) -> DataFrame:
+    """(unit, row, m[, blocks]) of units over the limit -> (unit, row) and the columns of `also`: blocks of about half the limit, in pairs."""
     n = F.ceil(F.col("m") / F.lit(max(1, limit // 2))).cast("int")
     at = rows if "blocks" in rows.columns else rows.withColumn("blocks", n)
     at = at.withColumn("i", F.pmod(F.xxhash64("row", "unit"), F.col("blocks")).cast("int"))
     paired = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return paired.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "row")
+    return paired.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "row", *also)
+
+
+def _ordered(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(unit, row, sig[, known]): units whole, each in the order of its tree's rotated signature, which sig is."""
+    joined = members.join(reps.select("row", "sig"), "row").withColumn("sig", _turned()).drop("tree")
+    return joined.repartition("unit").sortWithinPartitions("unit", "sig")
 
 
 def _forest_links(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): in each unit, a spanning forest of the pairs whose signatures agree."""
+    """(a, b): in each unit, a spanning forest of the pairs whose signatures agree, without what `known` has linked."""
     kind = reps.schema["row"].dataType.simpleString()
-    joined = members.join(reps.select("row", "sig"), "row").repartition("unit").sortWithinPartitions("unit", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, rows, sig in _whole_units(batches):
+        for unit, rows, sig, known in _whole_units(batches):
+            near = (unit[1:] == unit[:-1]) & ((sig[1:] == sig[:-1]).sum(1) >= AGREE)
             starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            lens = np.diff(np.append(starts, len(unit)))
-            two = starts[lens == 2]
-            two = two[(sig[two] == sig[two + 1]).sum(1) >= AGREE]
-            a, b = [two], [two + 1]
-            for s, n in zip(starts[lens > 2], lens[lens > 2], strict=True):
-                for x, y in spanning(sig[s : s + n]):
-                    a.append(np.full(len(y), s + x))
-                    b.append(s + y)
+            a = [np.flatnonzero(near)]
+            b = [a[0] + 1]
+            for s, n in zip(starts, np.diff(np.append(starts, len(unit))), strict=True):
+                if n > 2 and not near[s : s + n - 1].all():
+                    for x, y in spanning(sig[s : s + n], near[s : s + n - 1], None if known is None else known[s : s + n]):
+                        a.append(np.full(len(y), s + x))
+                        b.append(s + y)
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([rows.take(pa.array(a)), rows.take(pa.array(b))], ["a", "b"])
 
-    return joined.select("unit", "row", "sig").mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def spanning(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(x, all y found from x): breadth-first over the rows whose signatures agree; each row is found once."""
-    left = np.arange(1, len(sig))
-    queue, at = [0], 0
+    return _ordered(members, reps).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def spanning(sig: np.ndarray, near: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, one y of each group found from x): breadth-first over the rows whose signatures agree. The groups to begin with are the runs of
+    linked neighbours (near: whether a row is linked with the next), joined where known is equal; each is found once."""
+    group = np.concatenate(([0], np.cumsum(~near)))
+    if known is not None:
+        run, (_, own) = group, np.unique(known, return_inverse=True)
+        while True:  # the least group of a run, then of a component, until none changes
+            before = group
+            for key in (own, run):
+                least = np.full(key.max() + 1, len(sig))
+                np.minimum.at(least, key, group)
+                group = least[key]
+            if (group == before).all():
+                break
+    left = np.arange(len(sig))
+    queue: list[int] = []
+    at = 0
     while len(left):
         if at == len(queue):
-            queue.append(left[0])
-            left = left[1:]
+            first = group[left] == group[left[0]]
+            queue, at = left[first].tolist(), 0
+            left = left[~first]
             continue
         x = queue[at]
         at += 1
-        hit = (sig[left] == sig[x]).sum(1) >= AGREE
-        if hit.any():
-            yield x, left[hit]
-            queue.extend(left[hit].tolist())
-            left = left[~hit]
-
-
-def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Sorted batches cut anew where a unit ends: (unit, row, signatures)."""
+        hit = left[(sig[left] == sig[x]).sum(1) >= AGREE]
+        if len(hit):
+            groups, once = np.unique(group[hit], return_index=True)
+            yield x, hit[once]
+            found = np.isin(group[left], groups)
+            queue.extend(left[found].tolist())
+            left = left[~found]
+
+
+def _candidates(reps: DataFrame, region: int) -> DataFrame:
+    """(a, b): links whose components are those of the candidate graph."""
+    members, large = _members(reps, region)
+    links = _forest_links(members, reps)
+    if large is None:
+        return links
+    found = connected_components(links)
+    more = _forest_links(_open_blocks(large, found, region), reps)
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray | None]]:
+    """Sorted batches cut anew where a unit ends: (unit, row, signatures, known or None)."""
     held: list[pa.RecordBatch] = []
 
     def arrays(part: pa.RecordBatch):
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        return part.column("unit").to_numpy(zero_copy_only=False), part.column("row"), sig
+        known = part.column("known").to_numpy(zero_copy_only=False) if "known" in part.schema.names else None
+        return part.column("unit").to_numpy(zero_copy_only=False), part.column("row"), sig, known
 
     for batch in batches:
         if not batch.num_rows:
@@ -269,8 +315,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = sketch.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
     reps = classes.select(F.col("rep").alias("row"), "sig")
-    links = _forest_links(_members(reps, region), reps)
-    clusters = connected_components(links)
+    clusters = connected_components(_candidates(reps, region))
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.xxhash64("root").alias("unit"), F.col("node").alias("row"))
     clusters = materialize(clusters.join(classes.select(F.col("rep").alias("row"), "n"), "row").select("unit", "row", "n"), "clusters")
     n = clusters.count()
