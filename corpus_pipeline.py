@@ -12,10 +12,10 @@ from cytosift.llm import common, exact_dedup, langid, near_dup, packing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that have no language: no text or no letter."""
+    """Drops the documents that have no language: no text, no letter, or letters enough to judge and a low score."""
     labelled = docs.select("text", "lang")
-    found = langid.identify(docs, langid.fit(labelled), prediction="_lang_pred", score="_score")
-    return found.where(langid.accepted(F.col("_lang_pred"), F.col("_score"))).drop("_lang_pred", "_score")
+    found = langid.identify(docs, langid.fit(labelled), prediction="_lang_pred", score="_score", letters="_letters")
+    return found.where(langid.accepted(F.col("_lang_pred"), F.col("_score"), F.col("_letters"))).drop("_lang_pred", "_score", "_letters")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ PER_LANGUAGE = 1500
 EPOCHS = 4
 #: Of the fit: step size, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.001
+#: Letters from which a text is long enough to judge, and the score that it then needs.
+ENOUGH, LEAST = 100, 0.6
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SHIFT = np.uint64(64 - 15)
 
@@ -179,18 +182,20 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     return Model(languages, idf, weights, bias, temperature(logits, np.array([c for *_, c in aside], np.int64)))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns; columns that have these names already are replaced."""
-    docs = docs.drop(prediction, score)
+def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score", letters: str | None = None) -> DataFrame:
+    """docs with two more columns, or with letters a third, the number of letters up to ENOUGH; columns that have these names already are replaced."""
+    docs = docs.drop(prediction, score, *([letters] if letters else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights: its size doesn't follow the corpus
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            label, value = [], []
+            label, value, count = [], [], []
             for x in batch.column(at):
                 x = x.as_py()
+                if letters:
+                    count.append(sum(1 for _ in islice(filter(str.isalpha, x or ""), ENOUGH)))
                 if not model.languages or not has_letter(x):
                     label.append("und")
                     value.append(0.0)
@@ -199,12 +204,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
                 best = int(p.argmax())
                 label.append(model.languages[best])
                 value.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(value, pa.float64())], [*batch.schema.names, prediction, score])
+            made = [pa.array(label, pa.string()), pa.array(value, pa.float64()), *([pa.array(count, pa.int32())] if letters else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, prediction, score, *([letters] if letters else [])])
 
-    return by_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())]))
+    more = [T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(letters, T.IntegerType())] if letters else [])]
+    return by_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
-def accepted(prediction: Column, score: Column, least: float = 0.0) -> Column:
-    """Whether a document has a language: it isn't `und`, and its score is high enough. By default no score is too low: what makes
-    the score of a short text low is often a number or an address in it, not its language."""
-    return (prediction != "und") & (score >= least)
+def accepted(prediction: Column, score: Column, letters: Column) -> Column:
+    """Whether a document has a language: it has a letter and, if it has ENOUGH of them, a score of LEAST. Shorter texts stay, as what makes
+    their score low is often a number or an address; so do all with a letter if no label was there to train on (`und`)."""
+    return (letters > 0) & ((letters < ENOUGH) | (prediction == "und") | (score >= LEAST))
