@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batches, materialize
-from .packing import encoding
+from .tokens import tokens
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, HEAD_END, CLOSE = "<s>[INST] ", " [/INST]\n", "</s>"
@@ -100,7 +100,7 @@ class Pack:
         del self.stack[same:]
         for name, turn in zip(names[same:], turns[same:], strict=True):
             parent = self.stack[-1][1] if self.stack else -1
-            head, text, end = (self.encode(x, disallowed_special=()) for x in (OPEN + escape(turn["role"]) + HEAD_END, escape(turn["text"]), CLOSE))
+            head, text, end = (self.encode(x) for x in (OPEN + escape(turn["role"]) + HEAD_END, escape(turn["text"]), CLOSE))
             first = self.size
             last = first + len(head) + len(text) + len(end)
             above = self.nodes[parent] if parent >= 0 else None
@@ -138,7 +138,7 @@ def format_packs(rows: DataFrame, vocabulary: str, pattern: str, pack_tokens: in
     ordered = convs.withColumn("near", F.substring("path", 1, 64)).repartitionByRange("near", "conv_id").sortWithinPartitions("path", "conv_id").drop("near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoding(vocabulary, pattern).encode_to_numpy, None
+        encode, pack = tokens(vocabulary, pattern), None
         for batch in batches:
             for i in range(batch.num_rows):
                 conv_id, path, turns = (batch.column(c)[i].as_py() for c in ("conv_id", "path", "turns"))
@@ -158,7 +158,7 @@ def read_back(packs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(vocabulary, pattern).decode_bytes
+        decode = tokens(vocabulary, pattern).library.decode_bytes
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, mask = (np.array(batch.column(c)[i].values) for c in ("ids", "loss_mask"))

@@ -1,13 +1,14 @@
 """Best-fit packing by patterns.
 
 Documents are tokenised once; those longer than a sequence are cut so that only the first piece may be shorter. All planning is done on
-the histogram of piece lengths (at most `capacity` counters, whatever the size of the corpus): patterns of two and three
-lengths that fill a sequence are enumerated, repeat counts are fitted to the histogram by non-negative least squares and
+the histogram of piece lengths (at most `capacity` counters, whatever the size of the corpus): all patterns of two and three
+lengths that fill a sequence as far as a last length can are enumerated, repeat counts are fitted to the histogram by non-negative least squares and
 rounded down, and the residual lengths are packed best-fit decreasing. The plan is a bounded table of runs: the pieces of
-length L with ranks a to b go to sequences s, s + 1, ... at offset o. Ranks come from counts per (length, bucket) and a
-numbering within each, so no length is numbered in one task.
+length L with ranks a to b go to sequences s, s + 1, ... at offset o. Ranks are numbered in tasks of bounded size, however
+many pieces have one length; a piece that fills a sequence needs none.
 
-Cases: a null or empty text is the end id alone (length 1); a text of any length is cut, never truncated; repeated rows
+Cases: a null or empty text is the end id alone (length 1); a text of any length is cut, never truncated, runs of white space of
+any length too (see ``tokens``); pieces of one length are interchangeable, so ties don't matter; repeated rows and null keys
 are packed each on its own; an empty table gives an empty one; other columns are not read.
 """
 
@@ -15,39 +16,31 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import read_ranks
-from .common import by_batches, materialize, slices
+from .common import by_batches, materialize, numbered, slices
+from .tokens import tokens
 
 CAPACITY = 1024
-BUCKETS = 32
-#: Patterns of three lengths that are tried.
-TRIPLES = 60_000
 ROUNDS = 300
+#: Runs of one length that are looked through together.
+STEP = 16
 
 
-@lru_cache(2)
-def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-
-
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """(key, piece, start, length, ids_crc32 and, if asked for, ids array<int>) of every row's pieces."""
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """(key, piece, start, length, ids_crc32 and, if asked for, ids array<int>) of every row's pieces. Strings of added tokens get their ids."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary, pattern).encode_to_numpy
+        encode = tokens(vocabulary, pattern, added)
         for part in slices(batches):
             rows: list[tuple] = []
             for i, x in enumerate(part.column("text").to_pylist()):
-                ids = np.append(encode(x or "", disallowed_special=()).astype("<u4"), np.uint32(end))
+                ids = np.append(encode(x or "").astype("<u4"), np.uint32(end))
                 cut = len(ids) % capacity or min(capacity, len(ids))
                 bounds = [0, *range(cut, len(ids) + 1, capacity)]
                 for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -61,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: i
 
 
 def patterns(have: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three lengths (0: none) of those that occur: every pair and a spread of the triples that fill a sequence, or all but as few tokens as can be."""
+    """Rows of three lengths (0: none) of those that occur: each length, and each pair of lengths with room for a third, with the largest that still fits."""
     lengths = np.flatnonzero(have)
     lengths = lengths[lengths > 0]
     if not len(lengths):
@@ -69,18 +62,14 @@ def patterns(have: np.ndarray, capacity: int) -> np.ndarray:
     a = lengths
     fit = np.searchsorted(lengths, capacity - a, "right") - 1
     two = np.stack([a, np.where(fit >= 0, lengths[fit], 0), 0 * a], 1)[fit >= 0]
-    # each pair of lengths a >= b with room for a third gets the largest third; evenly thinned if there are too many
     i, j = np.triu_indices(len(lengths))
     room = capacity - lengths[i] - lengths[j]
     ok = room >= lengths[0]
     i, j, room = i[ok], j[ok], room[ok]
-    if len(i) > TRIPLES:
-        pick = np.linspace(0, len(i) - 1, TRIPLES).astype(np.int64)
-        i, j, room = i[pick], j[pick], room[pick]
     three = np.stack([lengths[i], lengths[j], lengths[np.searchsorted(lengths, room, "right") - 1]], 1)
-    found = np.unique(np.sort(np.concatenate([two, three]), 1)[:, ::-1], axis=0)
-    waste = capacity - found.sum(1)
-    return found[waste <= max(2, np.quantile(waste, 0.5))] if len(found) else found
+    found = np.sort(np.concatenate([two, three]), 1)
+    name = np.unique((found[:, 2] * (capacity + 1) + found[:, 1]) * (capacity + 1) + found[:, 0])
+    return np.stack([name // (capacity + 1) ** 2, name // (capacity + 1) % (capacity + 1), name % (capacity + 1)], 1)
 
 
 def repeats(found: np.ndarray, have: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -151,31 +140,31 @@ def plan(have: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int
     return runs
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """The pieces with sequence_id and offset; `cut` must be a table, as it is read three times."""
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces with sequence_id and offset; `cut` must be a table, as it is read three times, and its column `row` unique."""
     spark = cut.sparkSession
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * buckets rows at most
     have = np.zeros(capacity + 1, np.int64)
-    base = []
-    for r in sorted(counts):
-        base.append((r.length, r.bucket, int(have[r.length])))
-        have[r.length] += r.n
+    for length, n in cut.groupBy("length").agg(F.count(F.lit(1))).collect():  # capacity rows at most
+        have[length] = n
+    # a piece of full length is a sequence of its own, numbered after all others by its row
+    have[capacity] = 0
     runs = plan(have, capacity)
+    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row") + max((s + n for _, _, n, s, _ in runs), default=0), "offset": F.lit(0).cast("long")})
     own: dict[int, list[tuple]] = {}
     for length, first, n, sequence, offset in runs:
         own.setdefault(length, []).append((first, first + n, sequence, offset))
-    bases = spark.createDataFrame(base, "length long, bucket int, base long")
-    # one row a length: its runs in order of rank; the plan's size follows the capacity, not the corpus
-    listed = spark.createDataFrame([(k, sorted(v)) for k, v in own.items()], "length long, runs array<struct<first:long,last:long,sequence:long,offset:long>>")
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece", "ids_crc32")) - 1
-    ranked = cut.withColumn("rank", rank).join(F.broadcast(bases), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
-    run = F.expr("filter(runs, r -> rank >= r.first AND rank < r.last)[0]")
-    placed = ranked.join(F.broadcast(listed), "length").withColumn("run", run)
-    return placed.withColumn("sequence_id", F.expr("run.sequence + rank - run.first")).withColumn("offset", F.col("run.offset")).drop("bucket", "rank", "base", "runs", "run")
-
-
-def packed_documents(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    # one row a length: its runs in order of rank, STEP at a time; the plan's size follows the capacity, not the corpus
+    kind = "struct<first:long,last:long,runs:array<struct<first:long,last:long,sequence:long,offset:long>>>"
+    listed = [(k, [(v[i][0], v[min(i + STEP, len(v)) - 1][1], v[i : i + STEP]) for i in range(0, len(v), STEP)]) for k, v in ((k, sorted(v)) for k, v in own.items())]
+    listed = F.broadcast(spark.createDataFrame(listed, f"length long, steps array<{kind}>"))
+    ranked = numbered(cut.where(F.col("length") < capacity), "length", {int(k): int(have[k]) for k in np.flatnonzero(have)}, "row")
+    step = F.expr("filter(steps, s -> rank >= s.first AND rank < s.last)[0].runs")
+    placed = ranked.join(listed, "length").withColumn("run", step).withColumn("run", F.expr("filter(run, r -> rank >= r.first AND rank < r.last)[0]"))
+    placed = placed.withColumns({"sequence_id": F.expr("run.sequence + rank - run.first"), "offset": F.col("run.offset")}).select(*full.columns)
+    return full.union(placed).drop("row")
+
+
+def packed_documents(docs: DataFrame, vocabulary: str, pattern: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
-    cut = materialize(pieces(docs, vocabulary, pattern, end, capacity, key, text, with_ids), "pieces")
-    return pack(cut, capacity).withColumnRenamed("key", key)
+    cut = pieces(docs, vocabulary, pattern, end, capacity, key, text, with_ids, added)
+    return pack(materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity).withColumnRenamed("key", key)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, encode, exact_dedup, langid, near_dup, packing, sharding, token_counts, topk, warc
+from . import chat, common, encode, exact_dedup, langid, near_dup, packing, sharding, token_counts, tokens, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the ranks are the vocabulary of byte_bpe_50k.json, and give the same ids
-    return packing.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=2)
+    # the ranks are the vocabulary of byte_bpe_50k.json; with that file's added token they give the ids of the tokenizers library
+    added = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=2, added=added)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,8 +9,9 @@ explicit rule:
 * ``most``: to the section that holds most of its characters, the earlier of equals.
 
 A token that ends inside a character (byte-level tokens may) spans that character. Sections are gapless, so the counts of
-a document's sections add up to its tokens. Cases: a null or empty text has one empty section without tokens; repeated
-rows are counted each; an empty table gives an empty one; extra columns are not read.
+a document's sections add up to its tokens. Cases: a null or empty text has one empty section without tokens; a very long text
+is encoded whole (runs of white space of any length too, see ``tokens``); of sections that hold equally many characters of a token
+the earliest gets it; repeated rows are counted each; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_batches, slices
-from .packing import encoding
+from .tokens import tokens
 
 RULES = ("first", "last", "most")
 
@@ -65,16 +66,14 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
     names = ["key", "section", "start_char", "end_char", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding(vocabulary, pattern)
-        size = np.zeros(own.n_vocab, np.int64)
-        for token, rank in own._mergeable_ranks.items():
-            size[rank] = len(token)
+        own = tokens(vocabulary, pattern)
+        size = own.sizes()
         for part in slices(batches):
             rows, cols = [], [[] for _ in range(5)]
             for i, x in enumerate(part.column("text").to_pylist()):
                 x = x or ""
                 ends = np.array(sections(x))
-                ids = own.encode_to_numpy(x, disallowed_special=())
+                ids = own(x)
                 first, last = spans(np.frombuffer(x.encode(), np.uint8), size[ids]) if len(ids) else (ids.astype(np.int64), ids.astype(np.int64))
                 n, crossing = allocate(first, last, ends, rule)
                 rows.append(np.full(len(ends), i))

@@ -8,11 +8,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from cytosift.llm import bpe, encode, exact_dedup, packing, sharding, token_counts
+from cytosift.llm import bpe, chat, common, encode, exact_dedup, packing, sharding, token_counts, tokens
 from tokenizers import Tokenizer
 
 MULTI, ONE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LETTERS = [chr(c) for c in [*range(0x180), 0x2028, 0x3000, 0x200B, 0x4E2D, 0x1F600, 0x301, 0x660]] + list("   \n\n\t'sdrvm aeiouABZ<|>") * 8
+ADDED = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, bucket string, unit string"
 
 
@@ -21,7 +22,7 @@ def made(n, seed=0, longest=90):
     return ["".join(r.choice(LETTERS) for _ in range(r.randint(0, longest))) for _ in range(n)]
 
 
-CASES = [None, "", " ", "A", "a", "the the", "<|endoftext|> x", "x" * 700, "ab" * 3000, "word " * 4000, "é" * 300, *made(60)]
+CASES = [None, "", " ", "A", "a", "the the", "<|endoftext|> x", "one<|endoftext|>two <|endoftext|>", "  <|endoftext|>\n\n<|endoftext|><|endof", "x" * 700, "ab" * 3000, "word " * 4000, "é" * 300, *made(60)]
 
 
 def table(spark, texts, ids=None):
@@ -54,7 +55,6 @@ def test_round_trip(spark):
 
 def check_packing(rows, texts, capacity):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -77,12 +77,47 @@ def check_packing(rows, texts, capacity):
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_packing(spark, capacity):
     texts = CASES + made(150, 2, 400)
-    rows = packing.packed_documents(table(spark, texts), ONE, public_tokenizers.PATTERN, 2, capacity).collect()
+    rows = packing.packed_documents(table(spark, texts), ONE, public_tokenizers.PATTERN, 2, capacity, added=ADDED).collect()
     used, bound = check_packing(rows, texts, capacity)
     assert used <= bound * 1.06 + 1
     assert packing.packed_documents(table(spark, []), ONE, public_tokenizers.PATTERN, 2).count() == 0
 
 
+LONG = 1_100_000
+LONGEST = [" " * LONG, "\n" * LONG + "end", "a" * LONG, "go" + "\u3000 " * (LONG // 2) + "\tx", "." * LONG, "x" + " " * LONG + "<|endoftext|>" + "\n" * LONG]
+
+
+def test_runs_of_any_length_have_the_librarys_ids():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours, short = tokens.Tokens(ONE, public_tokenizers.PATTERN, ADDED), tokens.Tokens(ONE, public_tokenizers.PATTERN, ADDED, long_run=3)
+    for text in LONGEST:
+        assert ours(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for text in [x or "" for x in CASES] + made(300, 5):
+        assert short(text).tolist() == ours(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_runs_through_the_operators(spark):
+    texts = [LONGEST[1], LONGEST[5], "short"]
+    rows = packing.packed_documents(table(spark, texts), ONE, public_tokenizers.PATTERN, 2, added=ADDED).collect()
+    check_packing(rows, texts, 1024)
+    plain = tokens.Tokens(ONE, public_tokenizers.PATTERN)
+    counts = token_counts.section_tokens(table(spark, texts[1:]), ONE, public_tokenizers.PATTERN).groupBy("doc_id").sum("n_tokens").collect()
+    assert {i: n for i, n in counts} == {i: len(plain(x)) for i, x in enumerate(texts[1:])}
+    said = spark.createDataFrame([(1, 0, "user", texts[1]), (1, 1, "assistant", texts[0])], "conv_id long, turn long, role string, text string")
+    (back,) = chat.read_back(chat.format_packs(said, ONE, public_tokenizers.PATTERN), ONE, public_tokenizers.PATTERN).collect()
+    assert back.loss_chars == len(texts[0]) and back.turns_sha256 == hashlib.sha256(f"user\n{texts[1]}\nassistant\n{texts[0]}\n".encode()).hexdigest()
+
+
+def test_numbers_are_gapless_in_groups_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "NUMBERED_ROWS", 7)
+    rows = spark.range(1000).selectExpr("id", "IF(id % 3 = 0, 0, id % 50) AS g")
+    sizes = dict(rows.groupBy("g").count().collect())
+    got = {}
+    for r in common.numbered(rows, "g", sizes, "id").collect():
+        got.setdefault(r.g, []).append(r.rank)
+    assert {g: sorted(v) for g, v in got.items()} == {g: list(range(n)) for g, n in sizes.items()}
+
+
 def test_packing_of_repeated_rows(spark):
     rows = packing.packed_documents(table(spark, ["same text"] * 50, [7] * 50), ONE, public_tokenizers.PATTERN, 2).collect()
     assert len(rows) == 50 and len({(r.sequence_id, r.offset) for r in rows}) == 50
@@ -116,12 +151,10 @@ def test_section_tokens(spark):
             want = [0] * len(own)
             at = 0
             data = text.encode()
+            place = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
             for token in library.encode_ordinary(text):
                 n = len(library.decode_single_token_bytes(token))
-                first = len(data[: at + 1].decode(errors="ignore")) - (0 if data[at] >= 0x80 else 1)
-                chars = [sum(1 for b in data[: k + 1] if b & 0xC0 != 0x80) - 1 for k in range(at, at + n)]
-                del first
-                hold = [next(s for s, r in enumerate(own) if c < r.end_char) for c in sorted(set(chars))]
+                hold = [next(s for s, r in enumerate(own) if c < r.end_char) for c in sorted(set(place[at : at + n].tolist()))]
                 to = {"first": hold[0], "last": hold[-1], "most": max(sorted(set(hold)), key=hold.count)}[rule]
                 want[to] += 1
                 at += n
