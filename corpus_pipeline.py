@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytosift.llm import common, exact_dedup, langid, near_dup, packing
+from cytosift.llm import common, exact_dedup, langid, near_dup, packing, tokens
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=2)
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=2, added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
