@@ -1,10 +1,16 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into thousands of virtual slots, whose number never changes. Bytes are summed per slot, and a versioned
-map from slot to shard, a small table, is edited when loads are uneven or shards are added: only the slots moved change.
+map from slot to shard, a small table, is edited when loads are uneven or shards are added: only the slots moved change. Where the
+map's folder holds a version already, the latest one is read, edited and stored as the next, if the edit changes it at all; a version
+once stored is never written again.
 
-Cases: a null key or text is hashed as such; a null text has no bytes (size 8); repeated rows are all placed; an empty
-table gives an empty one and a map of slots dealt in turn; other columns are not read.
+The law is `bytes`. Equal texts are not held together: a group of copies may hold a third of all bytes, which no law of near
+equal sizes could then meet; so slots are those of (key, text).
+
+Cases: a null key or text is hashed as such; a null text has no bytes (size 8); texts of any length are hashed whole and never cut, so a shard
+is uneven by what one text exceeds its fair share; rows equal in key and text share a virtual slot, and are numbered in tasks of bounded size; an empty
+table gives an empty one and a map of slots dealt in turn; slots of equal size are taken in order of their number; other columns are not read.
 """
 
 from __future__ import annotations
@@ -12,12 +18,13 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, numbered
 
 VIRTUAL_SLOTS = 8192
+PASSES = 16
 
 
 @dataclass(frozen=True)
@@ -85,21 +92,49 @@ class SlotMap:
         return spark.createDataFrame([(self.version, s, k) for s, k in enumerate(self.shard)], "version int, virtual_slot int, shard int")
 
     def store(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at path; earlier versions stay."""
-        self.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Adds this version as a folder of its own; earlier versions stay, and one that is there already is an error."""
+        self.table(spark).select("virtual_slot", "shard", F.lit(self.shards).alias("shards")).coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
+
+    @classmethod
+    def versions(cls, spark: SparkSession, path: str) -> list[int]:
+        """The versions stored at path whole (a write that was cut short leaves no _SUCCESS)."""
+        top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+        found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)
+        return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found or [])
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        rows = spark.read.parquet(path)
-        version = rows.agg(F.max("version")).first()[0] if version is None else version
-        shard = tuple(r.shard for r in rows.where(F.col("version") == version).orderBy("virtual_slot").collect())
-        return cls(shard, max(shard) + 1, version)
+        """The given version, or the latest."""
+        version = cls.versions(spark, path)[-1] if version is None else version
+        rows = sorted(tuple(r) for r in spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard", "shards").collect())
+        return cls(tuple(shard for _, shard, _ in rows), rows[0][2], version)
+
+    @classmethod
+    def edited(cls, spark: SparkSession, path: str, slots: int, shards: int, size: np.ndarray) -> SlotMap:
+        """The map at path, grown to `shards` and rebalanced for these sizes, each edit stored as a version; a first one if there is none."""
+        if not cls.versions(spark, path):
+            cls.initial(slots, shards).store(spark, path)
+        current = cls.load(spark, path)
+        if len(current.shard) != slots or current.shards > shards:
+            raise ValueError(f"the map at {path} has {len(current.shard)} slots and {current.shards} shards; slots are fixed and shards are never taken away")
+        while current.shards < shards:
+            current = current.grown(size)
+            current.store(spark, path)
+        even = current
+        for _ in range(PASSES):  # to where another edit changes nothing, so that a second run on the same records leaves the map alone
+            before, even = even, replace(even.rebalanced(size), version=current.version + 1)
+            if even.shard == before.shard:
+                break
+        if even.shard == current.shard:
+            return current
+        even.store(spark, path)
+        return even
 
 
 def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """(key, size, text_crc32, virtual_slot)."""
+    """(key, size, text_crc32, virtual_slot, row: a unique number)."""
     crc = F.coalesce(F.crc32(docs[text]), F.lit(0).cast("long"))
-    return docs.select(docs[key].alias("key"), (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + 8).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(slots)).cast("int"))
+    return docs.select(docs[key].alias("key"), (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + 8).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(slots)).cast("int")).withColumn("row", F.monotonically_increasing_id())
 
 
 def totals(slim: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +146,19 @@ def totals(slim: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[np.ndarray, np.
 
 
 def shard_by_slots(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = VIRTUAL_SLOTS, store: str | None = None) -> DataFrame:
-    """Every row's shard (law `bytes`: shard sizes near equal) and its place there, gapless from 0."""
+    """Every row's shard (law `bytes`: shard sizes near equal) and its place there, gapless from 0. store: the folder of the map, in which later
+    runs find it; without one the map is kept with the intermediate tables, and serves this run only."""
     spark = docs.sparkSession
     slim = materialize(slotted(docs, key, text, slots), "slotted")
     size, rows = totals(slim, slots)
-    path = store or new_path(spark, "slot_map")
-    first = SlotMap.initial(slots, shards)
-    first.store(spark, path)
-    first.rebalanced(size).store(spark, path)
-    current = SlotMap.load(spark, path)
+    current = SlotMap.edited(spark, store or new_path(spark, "slot_map"), slots, shards, size)
     # places are numbered within a virtual slot, and slots follow one another within their shard, so no task sees a whole shard
     base, filled = [0] * slots, [0] * shards
     for s, k in enumerate(current.shard):
         base[s], filled[k] = filled[k], filled[k] + int(rows[s])
     placed = spark.createDataFrame([(s, k, base[s]) for s, k in enumerate(current.shard)], "virtual_slot int, shard int, base long")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("key", "text_crc32", "size"))
     return (
-        slim.withColumn("place", place)
+        numbered(slim, "virtual_slot", {int(s): int(rows[s]) for s in np.flatnonzero(rows)}, "row", "place")
         .join(F.broadcast(placed), "virtual_slot")  # as many rows as virtual slots
-        .select(F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(current.version).alias("map_version"))
+        .select(F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("virtual_slot").cast("int").alias("virtual_slot"), F.lit(current.version).alias("map_version"))
     )

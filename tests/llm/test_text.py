@@ -196,6 +196,38 @@ def test_slot_map_versions(spark, tmp_path):
     assert load.max() < 1.1 * load.mean() and load.min() > 0.9 * load.mean()
 
 
+def test_a_stored_map_is_read_edited_and_kept(spark, tmp_path):
+    path, texts = str(tmp_path / "map"), made(400, 6)
+    run = lambda texts, shards, **more: {r.doc_id: r for r in sharding.shard_by_slots(table(spark, texts, **more), shards, slots=256, store=path).collect()}
+    first = run(texts, 24)
+    assert sharding.SlotMap.versions(spark, path) == [0, 1]
+    again = run(texts, 24)
+    assert sharding.SlotMap.versions(spark, path) == [0, 1]  # nothing to edit
+    assert {i: (r.shard, r.map_version) for i, r in again.items()} == {i: (r.shard, 1) for i, r in first.items()}
+    grown = run(texts, 25)
+    moved = {i for i in grown if grown[i].shard != first[i].shard}
+    steps = sharding.SlotMap.versions(spark, path)
+    assert steps[:3] == [0, 1, 2] and moved and {r.shard for r in grown.values()} <= set(range(25))
+    before, after = sharding.SlotMap.load(spark, path, 1), sharding.SlotMap.load(spark, path, 2)
+    assert {b for a, b in zip(before.shard, after.shard, strict=True) if a != b} == {24}  # the new shard alone takes slots
+    with pytest.raises(ValueError):
+        run(texts, 24)  # shards are never taken away
+    with pytest.raises(Exception, match="(?i)exist"):
+        after.store(spark, path)
+    for k in range(25):
+        assert sorted(r.slot for r in grown.values() if r.shard == k) == list(range(sum(r.shard == k for r in grown.values())))
+
+
+def test_shards_of_null_keys_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "NUMBERED_ROWS", 50)
+    texts, ids = ["copy"] * 300 + [None] * 100 + made(100, 8), [7] * 300 + [None] * 100 + list(range(100, 200))
+    rows = sharding.shard_by_slots(table(spark, texts, ids), 8).collect()
+    assert len(rows) == 500 and len({(r.shard, r.slot) for r in rows}) == 500
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    assert len({r.virtual_slot for r in rows if r.doc_id == 7}) == 1
+
+
 def brute_groups(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     by = {}
