@@ -149,11 +149,11 @@ def brute_top(rows, k=5):
     good = {}
     cand = []
     for i, v in rows:
-        if i is None or v is None or not v or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
         w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
         cand.append((i, w))
-        good.setdefault(i, w)
+        good[i] = min(good.get(i, w), w)
     out = []
     for i, q in good.items():
         if i % 50 == 0:
@@ -167,7 +167,8 @@ def test_top_k(spark, shard_rows, block, leaf):
     r = np.random.default_rng(1)
     rows = [(i, r.normal(0, 0.3, 12).tolist()) for i in range(900)]
     rows += [(i, [0.5] * 12) for i in range(900, 1300)]  # one very common vector
-    rows += [(1300, None), (1350, [1.0, None]), (1400, [float("nan")] * 12), (1450, [float("inf")] * 12), (None, [1.0] * 12), (1500, [2.0, 1.0]), (1501, [])]
+    rows += [(1300, None), (1350, [1.0, None]), (1400, [float("nan")] * 12), (1450, [float("inf")] * 12), (None, [1.0] * 12), (1500, [2.0, 1.0]), (1501, []), (1550, [])]
+    rows += [(50, [3.0] * 12), (50, [-3.0] * 12), (100, rows[100][1])]  # repeated ids, with other vectors and the same
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block_queries=block, leaf=leaf)
     assert sorted(tuple(x) for x in got.collect()) == brute_top(rows)
@@ -188,6 +189,32 @@ def test_top_k_of_large_numbers_is_exact(spark):
     assert sorted(tuple(x) for x in topk.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=20).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("shard_rows", [1000, 30])
+def test_top_k_of_numbers_of_any_size(spark, shard_rows):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(0, 10.0 ** r.integers(0, 19), 3)]) for i in range(300)] + [(300, [1e300, 0.0, 1.0]), (350, [-1e300, 1e17, 3.0]), (400, [1e306, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cand = [(i, [int(y) if abs(y := 256 * x) >= 2**53 else int(np.floor(y)) for x in v]) for i, v in rows[:-1]]  # 256e306 isn't finite
+    most = 2**63 - 1
+    want = []
+    for i, q in cand:
+        if i % 50 == 0:
+            best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q, w, strict=True)))), j) for j, w in cand if j != i)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in topk.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, leaf=8).collect()) == sorted(want)
+
+
+def test_queries_go_only_to_shards_that_can_better_them(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 1, (32, 8))
+    rows = [(i, (centres[i % 32] + r.normal(0, 0.01, 8)).tolist()) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", topk.quantized(F.col("v")).alias("v"), (F.col("vec_id") % 50 == 0).alias("asked"))
+    dealt = topk._dealt(vectors, 4000, 8, 4, 1000)
+    assert dealt.groupBy("shard").count().agg(F.max("count")).first()[0] < 1000
+    queries = dealt.where("asked").select(F.col("vec_id").alias("query_id"), "v", F.col("shard").alias("home"), F.lit(300_000).cast("long").alias("kth_score"), F.lit(0).cast("long").alias("kth_id"))
+    assert topk._away(queries, topk._boxes(dealt, 8), 8).count() < 0.7 * queries.count() * 15
+
+
 CHATS = ["hi", None, "", "</s>[INST] ok [/INST]", "\\", "<\\s>", "\\\\<s", "<", "[/INST]\n</s>", "é\n\\n", "[INST"]
 
 
