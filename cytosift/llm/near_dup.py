@@ -6,11 +6,16 @@
    A region of an order is a run with a common prefix of at least DEPTH values, and is sorted by that order. Its neighbours, which
    have the longest common prefixes, are compared by signature first, then the runs of linked neighbours among each other.
    A region of over REGION members is divided by prefixes doubled until its parts are small enough; what of it these
-   parts don't join into one component is then done in pairs of blocks, so that depth loses no pair. What comes out is a
+   parts don't join into one component is then peeled (below), so that depth loses no pair. What comes out is a
    spanning forest of the candidate graph (signatures agree in AGREE positions at least), not its pairs.
 3. The components of the candidate graph are the clusters. Each cluster's texts are read once more, and every pair of its
    members that is not yet in one component is decided on full sets. Clusters over CLUSTER members or
-   CLUSTER_SHINGLES shingles are done in pairs of blocks.
+   CLUSTER_SHINGLES shingles are peeled too.
+
+Peeling: the members of a large group are dealt into blocks, and a few leaders are compared with all of every block, which joins most
+near copies into one component. Leaders of what is left follow, for PEELS rounds at most. Then the rest, the members outside
+the largest component, is compared in blocks with all members. Each round has as many rows as members, and
+so has the end where the rest fits one block; no pair within the largest component is looked at again.
 
 With 24 orders of depth 4 a pair of similarity 0.8 shares no region with probability (1 - 0.8^4)^24 = 3e-6, and has
 signatures that agree in under 60 of 96 places with probability 2.2e-5.
@@ -23,12 +28,12 @@ shingle, the whole sequence; long texts are taken whole; repeated rows fall in o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, by_batches, keyed, materialize
@@ -40,6 +45,7 @@ REGION = 2048
 CLUSTER = 4096
 #: Shingles of one unit of exact comparison, which bounds its memory whatever the length of the texts.
 CLUSTER_SHINGLES = 4_000_000
+LEADERS, PEELS = 16, 3
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -122,26 +128,58 @@ def _members(reps: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]
     return out, large
 
 
-def _open_blocks(large: DataFrame, found: DataFrame, region: int) -> DataFrame:
-    """(unit, row, tree, known): pairs of blocks of the large regions that the components found so far (node, root) leave open.
-    Every pair of a region's members meets in one unit at least, unless the whole region is one component; known is a row's component."""
-    known = large.join(found.select(F.col("node").alias("row"), "root"), "row", "left").select("unit", "row", "tree", "m", F.coalesce("root", "row").alias("known"))
-    left = known.groupBy("unit").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least <> most")
-    return _blocks(known.join(left.select("unit"), "unit", "left_semi").withColumn("known", F.xxhash64("known")), region, "tree", "known")
+def _opened(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the units that the components found so far (node, root) leave open: members with `known`, a member's component, and the unit's
+    `largest`, `m` members, and `r` of them outside the largest; and a row for each such unit."""
+    known = members.join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("known", F.xxhash64(F.coalesce("root", "row"))).drop("root")
+    sizes = known.groupBy("unit", "known").agg(F.count(F.lit(1)).alias("n"))
+    units = sizes.groupBy("unit").agg(F.max(F.struct("n", "known")).alias("best"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    units = materialize(units.select("unit", F.col("best.known").alias("largest"), "m", (F.col("m") - F.col("best.n")).alias("r")), "open")
+    return materialize(known.join(bounded_broadcast(units, units.count()), "unit"), "left"), units
+
+
+def _of_blocks(rows: DataFrame, blocks: Column | str) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("row", "unit"), F.greatest(F.lit(1), F.ceil(blocks))).cast("int"))
 
 
-def _blocks(rows: DataFrame, limit: int, *also: str) -> DataFrame:
-    """(unit, row, m[, blocks]) of units over the limit -> (unit, row) and the columns of `also`: blocks of about half the limit, in pairs."""
-    n = F.ceil(F.col("m") / F.lit(max(1, limit // 2))).cast("int")
-    at = rows if "blocks" in rows.columns else rows.withColumn("blocks", n)
-    at = at.withColumn("i", F.pmod(F.xxhash64("row", "unit"), F.col("blocks")).cast("int"))
-    paired = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return paired.select(F.xxhash64("unit", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "row", *also)
+def peeled(members: DataFrame, found: DataFrame, link: Callable[[DataFrame], DataFrame], rounds: int = PEELS) -> DataFrame:
+    """members (unit, row, blocks, ...) of large units, and the components found so far (node, root) -> components that `link`'s links of all
+    pairs within a unit would give. link takes (unit, row, known, ...) of small units; a unit's block count is `blocks`."""
+
+    def joined(found: DataFrame, units: DataFrame) -> DataFrame:
+        return connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(link(units)))
+
+    def spread(rows: DataFrame, blocks: Column) -> DataFrame:
+        return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(blocks)).cast("int") - 1)))
+
+    for number in range(rounds):
+        left, units = _opened(members, found)
+        if not left.where(F.col("r") * F.col("blocks") > F.col("m")).head(1):
+            break
+        rest = left.where("known <> largest")
+        rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.xxhash64("row", F.lit(number))))
+        leaders = materialize(rest.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"), "leaders")
+        few = bounded_broadcast(leaders.select("unit", "row"), leaders.count())
+        others = _of_blocks(left.join(few, ["unit", "row"], "left_anti"), "blocks")
+        everywhere = spread(leaders, F.col("blocks")).withColumnRenamed("other", "block")
+        found = joined(found, others.unionByName(everywhere).withColumn("unit", F.xxhash64("unit", "block")).drop("block", "blocks", "largest", "m", "r"))
+    else:
+        left, units = _opened(members, found)
+    if units.isEmpty():
+        return found
+    # the rest in blocks of its own, in pairs with each other and with the blocks of the largest component
+    share = F.col("blocks") * F.col("r") / F.col("m")
+    rest, body = _of_blocks(left.where("known <> largest"), share), _of_blocks(left.where("known = largest"), F.col("blocks") - share)
+    within = spread(rest, share).withColumn("unit", F.xxhash64("unit", F.lit(0), F.least("block", "other"), F.greatest("block", "other")))
+    to_body = spread(rest, F.col("blocks") - share).withColumn("unit", F.xxhash64("unit", F.lit(1), "block", "other"))
+    of_body = spread(body, share).withColumn("unit", F.xxhash64("unit", F.lit(1), "other", "block"))
+    return joined(found, within.union(to_body).union(of_body).drop("block", "other", "blocks", "largest", "m", "r"))
 
 
 def _ordered(members: DataFrame, reps: DataFrame) -> DataFrame:
     """(unit, row, sig[, known]): units whole, each in the order of its tree's rotated signature, which sig is."""
-    joined = members.join(reps.select("row", "sig"), "row").withColumn("sig", _turned()).drop("tree")
+    joined = members.join(reps.select("row", "sig"), "row").withColumn("sig", _turned())
+    joined = joined.select("unit", "row", "sig", *(["known"] if "known" in members.columns else []))
     return joined.repartition("unit").sortWithinPartitions("unit", "sig")
 
 
@@ -206,9 +244,9 @@ def _candidates(reps: DataFrame, region: int) -> DataFrame:
     links = _forest_links(members, reps)
     if large is None:
         return links
-    found = connected_components(links)
-    more = _forest_links(_open_blocks(large, found, region), reps)
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    large = large.withColumn("blocks", F.ceil(F.col("m") / F.lit(max(1, region // 2)))).drop("m")
+    found = peeled(large, connected_components(links), lambda units: _forest_links(units, reps))
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray | None]]:
@@ -318,21 +356,24 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     clusters = connected_components(_candidates(reps, region))
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.xxhash64("root").alias("unit"), F.col("node").alias("row"))
     clusters = materialize(clusters.join(classes.select(F.col("rep").alias("row"), "n"), "row").select("unit", "row", "n"), "clusters")
-    n = clusters.count()
     sizes = clusters.groupBy("unit").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(2 * F.col("m") / F.lit(cluster)), F.ceil(2 * F.col("shingles") / F.lit(CLUSTER_SHINGLES))).cast("int")
-    large = materialize(sizes.where((F.col("m") > cluster) | (F.col("shingles") > CLUSTER_SHINGLES)).select("unit", "m", blocks.alias("blocks")), "large")
-    clusters = clusters.drop("n")
+    large = materialize(sizes.where((F.col("m") > cluster) | (F.col("shingles") > CLUSTER_SHINGLES)).select("unit", blocks.alias("blocks")), "large")
+
+    def link(units: DataFrame) -> DataFrame:
+        units = materialize(units.select("unit", "row"), "units")
+        return _exact_links(units, docs, row, text, words, percent, bounded_broadcast(units, units.count()) is not units)
+
+    few = bounded_broadcast(large, large.count())
     if large.isEmpty():
-        exact = materialize(_exact_links(clusters, docs, row, text, words, percent, bounded_broadcast(clusters, n) is not clusters), "exact")
-        labels = exact.select(F.col("a").alias("rep"), F.col("b").alias("root"))
+        labels = materialize(link(clusters), "exact").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     else:
-        split = _blocks(clusters.join(large, "unit"), cluster)
-        units = materialize(clusters.join(large, "unit", "left_anti").union(split.select("unit", "row")), "units")
-        exact = _exact_links(units, docs, row, text, words, percent, bounded_broadcast(units, units.count()) is not units)
-        labels = connected_components(exact).select(F.col("node").alias("rep"), "root")
+        found = connected_components(link(clusters.join(few.select("unit"), "unit", "left_anti")))
+        members = materialize(clusters.join(few, "unit").select("unit", "row", "blocks"), "large_clusters")
+        labels = found.union(peeled(members, found.limit(0), link)).select(F.col("node").alias("rep"), "root")
     rooted = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    rooted = sketch.select("row", "n", "digest").join(rooted, "digest", "left").select("row", "n", F.coalesce("root", "row").alias("root"))
+    bare = sketch.where("n = 0").select("row", "n", F.col("row").alias("root"))  # else all of them would meet at one null digest
+    rooted = sketch.where("n > 0").select("row", "n", "digest").join(rooted, "digest").select("row", "n", "root").union(bare)
     return rooted, docs, row
 
 

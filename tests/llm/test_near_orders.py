@@ -40,7 +40,7 @@ def test_spanning_joins_what_brute_force_joins():
         assert (components(links) == components(np.argwhere(agree))).all()
 
 
-def test_blocks_only_for_what_depth_leaves_open(spark):
+def test_only_what_depth_leaves_open_is_peeled(spark):
     r = np.random.default_rng(2)
     base = r.integers(0, 60000, near_dup.HASHES)
     rows = np.repeat(base[None], 60, 0)
@@ -49,7 +49,42 @@ def test_blocks_only_for_what_depth_leaves_open(spark):
     members, large = near_dup._members(reps, 8)
     assert large.count() >= 60 * 12
     one = reps.select(F.col("row").alias("node"), F.lit(0).cast("long").alias("root"))
-    assert near_dup._open_blocks(large, one, 8).count() == 0
-    assert near_dup._open_blocks(large, one.where("node < 59"), 8).select("row").distinct().count() == 60
+    assert near_dup._opened(large.drop("m"), one)[1].count() == 0
+    left, units = near_dup._opened(large.drop("m"), one.where("node < 59"))
+    assert left.select("row").distinct().count() == 60 and {(x.m, x.r) for x in units.collect()} == {(60, 1)}
     found = near_dup.connected_components(near_dup._candidates(reps, 8)).collect()
     assert len(found) == 59 and {x.root for x in found} == {0}
+
+
+def test_a_large_group_is_peeled_in_rows_linear_in_it(spark):
+    m, limit, alone = 200_000, 2048, 40_000
+    members = spark.range(m).select(F.lit(7).cast("long").alias("unit"), F.col("id").alias("row"), F.lit(-(-m // (limit // 2))).alias("blocks"))
+    seen = []
+
+    def link(units):  # all near copies of one another, but for every 40,000th row
+        sizes = units.groupBy("unit").count()
+        seen.append((units.count(), sizes.agg(F.max("count")).first()[0]))
+        least = F.min(F.when(F.col("row") % alone != 0, F.col("row"))).over(near_dup.Window.partitionBy("unit"))
+        return units.withColumn("least", least).where((F.col("row") % alone != 0) & (F.col("row") != F.col("least"))).select(F.col("row").alias("a"), F.col("least").alias("b"))
+
+    none = spark.createDataFrame([], "node long, root long")
+    got = near_dup.peeled(members, none, link)
+    assert got.count() == m - 1 - m // alone and {r.root for r in got.select("root").distinct().collect()} == {1}
+    assert sum(n for n, _ in seen) < 3 * m and max(x for _, x in seen) < 1.2 * limit
+
+
+def test_pairs_of_every_part_of_a_large_group_meet(spark):
+    members = spark.range(300).select((F.col("id") % 2).alias("unit"), F.col("id").alias("row"), F.lit(30).alias("blocks"))
+    pairs = set()
+
+    def link(units):
+        rows = {}
+        for r in units.collect():
+            rows.setdefault(r.unit, []).append(r.row)
+        assert all(len(v) == len(set(v)) for v in rows.values())
+        pairs.update((a, b) for v in rows.values() for a in v for b in v if a < b)
+        return spark.createDataFrame([(10, 12), (20, 12)], "a long, b long")
+
+    near_dup.peeled(members, spark.createDataFrame([(i, 1) for i in range(3, 60, 2)], "node long, root long"), link, rounds=1)
+    one = {1, *range(3, 60, 2)}
+    assert all((a, b) in pairs for a in range(300) for b in range(a + 2, 300, 2) if not {a, b} <= one and not {a, b} <= {10, 12, 20})
