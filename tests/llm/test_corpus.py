@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -300,6 +301,53 @@ def test_warc_reads_members_and_lone_records(spark, tmp_path):
     assert (one.capture_id, one.response.http_status, bytes(one.response.payload), one.request, one.metadata[0].fields) == ("r", 404, b"body", None, "a: b\r\n")
 
 
+def warc_record(kind, name, block, to=None, length=True):
+    to = f"WARC-Concurrent-To: <{to}>\r\n" if to else ""
+    size = f"Content-Length: {len(block)}\r\n" if length else ""
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{to}{size}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_warc_joins_either_direction_and_chains(spark, tmp_path):
+    http, ask = b"HTTP/1.1 200 OK\r\n\r\nbody", b"GET / HTTP/1.1\r\n\r\n"
+    data = [
+        warc_record("response", "r1", http, "q1"), warc_record("request", "q1", ask), warc_record("metadata", "m1", b"n: 1\r\n", "q1"),  # the response names its request
+        warc_record("request", "q2", ask, "r2"), warc_record("response", "r2", http), warc_record("metadata", "m2", b"n: 2\r\n", "q2"), warc_record("metadata", "m2b", b"n: 3\r\n", "m2"),
+        warc_record("response", "r3", b"93.184.216.34 dns answer"), warc_record("response", "r4", b"HTTP/1.1\r\n\r\nx"), warc_record("request", "lost", ask, "nowhere"),
+        warc_record("revisit", "r5", b"", "q5"), warc_record("request", "q5", ask, "r5"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    got = {r.capture_id: r for r in warc.assemble(warc.read(spark, str(tmp_path / "a.warc"))).collect()}
+    assert {k: (r.request and r.request.record_id, [m.record_id for m in r.metadata]) for k, r in got.items()} == {
+        "r1": ("q1", ["m1"]), "r2": ("q2", ["m2", "m2b"]), "r3": (None, []), "r4": (None, []), "r5": ("q5", [])}
+    assert got["r3"].response.http_status is None and bytes(got["r3"].response.payload) == b"93.184.216.34 dns answer"
+    assert got["r4"].response.http_status is None and got["r2"].response.http_status == 200
+
+
+def test_warc_records_without_length(spark, tmp_path):
+    data = warc_record("response", "a", b"HTTP/1.1 200 OK\r\n\r\none\r\n\r\ntwo", length=False) + warc_record("metadata", "m", b"x: 1", "a", length=False) + warc_record("response", "b", b"HTTP/1.1 200 OK\r\n\r\nlast", length=False)
+    (tmp_path / "a.warc").write_bytes(data)
+    got = {r.record_id: r for r in warc.read(spark, str(tmp_path / "a.warc")).collect()}
+    assert {k: bytes(r.payload) for k, r in got.items() if r.payload} == {"a": b"one\r\n\r\ntwo", "b": b"last"} and got["m"].fields == "x: 1"
+
+
+def test_warc_archives_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    r = random.Random(1)
+    html = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz <>/") for _ in range(60_000)) for _ in range(40)]
+    pages = spark.createDataFrame([(i, "u", x) for i, x in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 50_000)
+    path = str(tmp_path / "w")
+    warc.write(pages, path)
+    files = [x for x in os.listdir(path) if x.startswith("part-")]
+    sizes = [os.path.getsize(f"{path}/{x}") for x in files]
+    assert len(files) > 5 and max(sizes) < 300_000
+    for x in files:  # each record is a member: those begin with a record's first line or are empty
+        data = open(f"{path}/{x}", "rb").read()
+        members = list(warc._parts(memoryview(data)))
+        assert gzip.decompress(data) == b"".join(members) and all(m.startswith(b"WARC/1.1\r\n") and m.count(b"WARC-Record-ID") == 1 for m in members if m)
+    assert sorted(bytes(x.response.payload).decode() for x in warc.assemble(warc.read(spark, path)).collect()) == sorted(html)
+
+
 def test_empty_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
