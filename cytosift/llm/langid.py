@@ -2,11 +2,13 @@
 
 Document frequencies are counted over all training rows, whole texts, on the executors. The classifier is fitted on the
 driver by follow-the-regularised-leader (proximal, per coordinate) with an elastic net: L1 leaves most weights at zero, L2
-shrinks the rest. It takes at most PER_LANGUAGE different labelled texts of each language, those of least hash, a documented bound;
-a fifth of them is set aside to fit one temperature that calibrates the scores. Prediction is a narrow pass over whole texts.
+shrinks the rest. It takes at most PER_LANGUAGE different labelled texts of each language, those of least hash, a documented bound; their n-gram
+counts, 8 bytes for each of at most BUCKETS different ones of a text, are what the driver holds of the corpus.
+A fifth of them is set aside to fit one temperature that calibrates the scores. Prediction is a narrow pass over whole texts; the
+weights go to the workers without the buckets whose weights are all zero.
 
 Cases: a null text or one without any letter is `und` with score 0; so is every text if there are no training rows; a row
-without label takes no part in training; a null key is not held out; repeated rows count each in the frequencies and once in the fit; ties go to the language first in
+without label takes no part in training; a null key is not held out; texts of any length are read whole; repeated rows count each in the frequencies and once in the fit; ties go to the language first in
 order; an empty table gives an empty one; extra columns are kept by `identify`, but
 for those with the names of its two, which it replaces.
 """
@@ -50,6 +52,24 @@ class Model:
         value = tf_idf(index, count, self.idf)
         return softmax((value @ self.weights[index] + self.bias) / self.temperature)
 
+    def sparse(self) -> SparseModel:
+        live = np.flatnonzero((self.weights != 0).any(1))
+        at = np.full(len(self.weights), len(live), np.int32)
+        at[live] = np.arange(len(live))
+        return SparseModel(self.languages, self.idf, np.concatenate((self.weights[live], np.zeros((1, len(self.languages))))), self.bias, self.temperature, at)
+
+
+@dataclass
+class SparseModel(Model):
+    """weights holds the rows of live buckets alone, and one of zeros; at is the row of each bucket."""
+
+    at: np.ndarray | None = None
+
+    def scores(self, index: np.ndarray, count: np.ndarray) -> np.ndarray:
+        value, row = tf_idf(index, count, self.idf), self.at[index]
+        live = row < len(self.weights) - 1
+        return softmax((value[live] @ self.weights[row[live]] + self.bias) / self.temperature)
+
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the hashed character n-grams of a text in lower case, with a space at either end."""
@@ -151,7 +171,9 @@ def _featured(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fits on all of docs' labelled rows as the module says; leave out held-out rows before."""
     rows = docs.select(docs[text].alias("text"), docs[label].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    # of different texts, as copies take no part in the fit; a row a language
+    sizes = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -164,7 +186,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     idf = np.log((1 + total) / (1 + frequency)) + 1
     # rows of least hash: first by a threshold that leaves a little over the bound, then exactly
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_language / n + 20 / n))) for k, n in sizes.items()])
-    rows = rows.withColumn("order", F.xxhash64("text")).where((F.shiftrightunsigned("order", 11) / F.lit(float(2**53))) < share)
+    rows = rows.where(F.col("order") / F.lit(2.0**63) < share)
     rows = rows.dropDuplicates(["lang", "order"])  # else a large group of copies could fill the sample
     first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     sample = _featured(rows).withColumn("rank", first).where(F.col("rank") <= per_language).drop("rank").collect()  # per_language rows a language
@@ -185,7 +207,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
 def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score", letters: str | None = None) -> DataFrame:
     """docs with two more columns, or with letters a third, the number of letters up to ENOUGH; columns that have these names already are replaced."""
     docs = docs.drop(prediction, score, *([letters] if letters else []))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights: its size doesn't follow the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model.sparse())  # BUCKETS x languages weights at most: its size doesn't follow the corpus
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
