@@ -23,7 +23,7 @@ BATCH_BYTES = "4m"
 BROADCAST_ROWS = 200_000
 
 #: Rows that are numbered in one task, and tasks up to which more rows are spread over more tasks.
-NUMBERED_ROWS, NUMBERED_PARTS = 100_000, 50_000
+NUMBERED_ROWS, NUMBERED_PARTS = 1000, 50_000
 
 _own: dict[str, str] = {}
 
