@@ -27,11 +27,10 @@ def read_filter(options: ReadOptions) -> Column:
 
 
 def filter_reads(reads: DataFrame, options: ReadOptions) -> DataFrame:
-    """Reads that pass, with `strand`; kept discordant pairs get the proper-pair bit. A paired read that is neither first nor second is dropped."""
+    """Reads that pass, with `strand`; paired reads whose mate is mapped get the proper-pair bit. A paired read that is neither first nor second is dropped."""
     out = reads.where(read_filter(options)).withColumn("strand", strand_of_origin(F.col("flag"), F.col("xg"))).where("strand > 0")
-    if options.keep_discordant:
-        out = out.withColumn("flag", F.when(has(F.col("flag"), 0x1), F.col("flag").bitwiseOR(F.lit(0x2))).otherwise(F.col("flag")))
-    return out
+    flag = F.col("flag")
+    return out.withColumn("flag", F.when(flag.bitwiseAND(F.lit(0x9)) == 0x1, flag.bitwiseOR(F.lit(0x2))).otherwise(flag))
 
 
 def kept_range(options: ReadOptions) -> tuple[Column, Column]:

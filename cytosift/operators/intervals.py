@@ -1,6 +1,8 @@
-"""Interval joins without a theta join: both sides are cut into bins and meet on (chrom, bin).
+"""Interval joins without a theta join: both sides meet on (chrom, width, bin).
 
-A pair of intervals may share several bins; it is taken in the bin of the later of the two starts, where it occurs once."""
+An interval of the left side has one row, in the bin of its start, of the least of WIDTHS that is no shorter than it. A region has a row in every
+bin of every width that it touches, and in the one before, from which an interval may reach into it. So a pair meets once, and
+the left side is neither multiplied nor made distinct, however long its intervals are."""
 
 from __future__ import annotations
 
@@ -9,42 +11,52 @@ from pyspark.sql import functions as F
 
 from ..functions.strand import STRANDS
 
-BIN = 256
-#: Rows of a region table up to which it is broadcast.
+WIDTHS = tuple(256 << 4 * k for k in range(6))
+BIN = WIDTHS[0]
+#: Rows that a region table has when cut into bins, up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def bins(start: Column, end: Column, width: int = BIN) -> Column:
-    return F.sequence(F.floor(start / width), F.floor((end - 1) / width))
+def in_bins(regions: DataFrame, widths: tuple[int, ...] = WIDTHS, before: int = 1) -> DataFrame:
+    """regions (r_start, r_end, ...) with a row for each (_width, _bin) as the module says; broadcast if these rows are few enough."""
+    regions = regions.where("r_start < r_end")
+    first = {w: F.floor(F.col("r_start") / w) - before for w in widths}
+    last = {w: F.floor((F.col("r_end") - 1) / w) for w in widths}
+    rows = sum((last[w] - first[w] + 1 for w in widths), F.lit(0))
 
+    def of(w: int) -> Column:
+        return F.transform(F.sequence(first[w], last[w]), lambda b: F.struct(F.lit(w).alias("_width"), b.alias("_bin")))
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, which is counted; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    cut = F.concat(*map(of, widths))
+    found = regions.withColumn("_cut", F.explode(cut)).withColumns({"_width": F.col("_cut._width"), "_bin": F.col("_cut._bin")}).drop("_cut")
+    return F.broadcast(found) if (regions.agg(F.sum(rows)).first()[0] or 0) <= BROADCAST_ROWS else found
 
 
-def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, width: int = BIN) -> DataFrame:
+def placed(left: DataFrame, start: Column, end: Column) -> DataFrame:
+    """left with the (_width, _bin) of [start, end)."""
+    width = F.lit(WIDTHS[-1])
+    for w in reversed(WIDTHS[:-1]):
+        width = F.when(end - start <= w, F.lit(w)).otherwise(width)
+    return left.withColumn("_width", width).withColumn("_bin", F.floor(start / F.col("_width")))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of left with every row of right (chrom, r_start, r_end, ...) that it overlaps by a base or more."""
-    r = small(right.where("r_start < r_end")).withColumn("_bin", F.explode(bins(F.col("r_start"), F.col("r_end"), width)))
-    cut = left.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(bins(F.col(start), F.col(end), width)))
-    meet = (F.col(start) < F.col("r_end")) & (F.col("r_start") < F.col(end)) & (F.floor(F.greatest(F.col(start), F.col("r_start")) / width) == F.col("_bin"))
-    return cut.join(r, ["chrom", "_bin"]).where(meet).drop("_bin")
+    meet = (F.col(start) < F.col("r_end")) & (F.col("r_start") < F.col(end))
+    return placed(left.where(F.col(start) < F.col(end)), F.col(start), F.col(end)).join(in_bins(right), ["chrom", "_width", "_bin"]).where(meet).drop("_width", "_bin")
 
 
 def reads_in_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
-    """Reads whose span [pos, ref_end) overlaps any region; semi join on the bins of the regions."""
-    r = small(regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end")).where("r_start < r_end"))
-    r = r.withColumn("_bin", F.explode(bins(F.col("r_start"), F.col("r_end"))))
-    cut = reads.withColumn("_bin", F.explode(bins(F.col("pos"), F.greatest("ref_end", F.col("pos") + 1))))
-    hit = cut.join(r, (cut["chrom"] == r["chrom"]) & (cut["_bin"] == r["_bin"]) & (cut["pos"] < r["r_end"]) & (r["r_start"] < cut["ref_end"]), "left_semi")
-    # a read may lie in several bins that have a region: it is kept once, from the first such bin
-    return hit.groupBy("read_id").agg(*[F.first(c).alias(c) for c in reads.columns if c != "read_id"]).select(*reads.columns)
+    """Reads whose span [pos, ref_end) overlaps any region: a semi join, to which a read comes with one row."""
+    r = in_bins(regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).withColumnRenamed("chrom", "r_chrom")
+    r = r.select("r_chrom", F.col("_width").alias("r_width"), F.col("_bin").alias("r_bin"), "r_start", "r_end")
+    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("_width") == F.col("r_width")) & (F.col("_bin") == F.col("r_bin")) & (F.col("pos") < F.col("r_end")) & (F.col("r_start") < F.col("ref_end"))
+    return placed(reads, F.col("pos"), F.col("ref_end")).join(r, meet, "left_semi").drop("_width", "_bin")
 
 
 def region_of_positions(sites: DataFrame, regions: DataFrame) -> DataFrame:
     """sites within a region, with `region_strand` of the first such region by (start, end, strand)."""
-    r = small(regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("strand").alias("r_strand")).where("r_start < r_end"))
-    r = r.withColumn("_bin", F.explode(bins(F.col("r_start"), F.col("r_end"))))
+    r = in_bins(regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("strand").alias("r_strand")), (BIN,), before=0).drop("_width")
     hit = sites.withColumn("_bin", F.floor(F.col("pos") / BIN)).join(r, ["chrom", "_bin"]).where("pos >= r_start AND pos < r_end")
     first = F.min_by("r_strand", F.struct("r_start", "r_end", "r_strand")).alias("region_strand")
     return hit.groupBy(*sites.columns).agg(first)
@@ -72,18 +84,29 @@ def mappable_reads(reads: DataFrame, mappability: DataFrame, cutoff: float, leas
     return reads if least <= 0 else reads.join(kept, "read_id", "left_semi")
 
 
-def run_lengths(values: DataFrame, longest: int = 65_535) -> DataFrame:
+#: Positions of a contig whose runs are found in one task.
+RUN_CHUNK = 1 << 22
+
+
+def run_lengths(values: DataFrame, longest: int = 65_535, chunk: int = RUN_CHUNK) -> DataFrame:
     """values (chrom, start, end, value) laid end to end -> runs of one value, none longer than `longest`.
 
-    Islands are found by a running count of changes; equal neighbours become one run."""
+    Islands are found by a running count of changes, within chunks of a contig. Then the first and the last run of every chunk, two rows
+    a chunk, are joined in the same way along their contig; no task sees more of it."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("chrom").orderBy("start")
-    changed = (F.lag("value").over(w).eqNullSafe(F.col("value")) & (F.lag("end").over(w) == F.col("start"))).cast("int")
-    island = F.sum(1 - F.coalesce(changed, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = values.withColumn("island", island).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value"))
+    def joined(rows: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start")
+        changed = (F.lag("value").over(w).eqNullSafe(F.col("value")) & (F.lag("end").over(w) == F.col("start"))).cast("int")
+        island = F.sum(1 - F.coalesce(changed, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value"))
+
+    runs = joined(values.withColumn("chunk", F.floor(F.col("start") / chunk)), "chrom", "chunk")
+    most = F.max("island").over(Window.partitionBy("chrom", "chunk"))
+    runs = runs.withColumn("edge", (F.col("island") == 1) | (F.col("island") == most))
+    whole = runs.where("NOT edge").select("chrom", "start", "end", "value").union(joined(runs.where("edge").select("chrom", "start", "end", "value"), "chrom").drop("island").select("chrom", "start", "end", "value"))
     cuts = F.sequence(F.col("start"), F.col("end") - 1, F.lit(longest).cast("long"))
-    return runs.withColumn("cut", F.explode(cuts)).select("chrom", F.col("cut").alias("start"), F.least("end", F.col("cut") + longest).alias("end"), "value")
+    return whole.withColumn("cut", F.explode(cuts)).select("chrom", F.col("cut").alias("start"), F.least("end", F.col("cut") + longest).alias("end"), "value")
 
 
-__all__ = ["BIN", "STRANDS", "bins", "mappable_reads", "overlap_join", "reads_in_regions", "region_of_positions", "run_lengths", "small", "strand_matches"]
+__all__ = ["BIN", "STRANDS", "WIDTHS", "in_bins", "mappable_reads", "overlap_join", "placed", "reads_in_regions", "region_of_positions", "run_lengths", "strand_matches"]

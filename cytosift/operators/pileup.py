@@ -6,7 +6,7 @@ read covers, not by its bases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calls import call, conversion_efficiency, odd, opposite_variant, own_strand, resolved_quality
@@ -35,18 +35,31 @@ def laid(reads: DataFrame, positions: bool = False) -> DataFrame:
     return reads.withColumn("on_ref", on_ref).drop("seq", "qual", "cigar")
 
 
+def may_pair(flag: Column) -> Column:
+    """Whether a read is paired, mapped, and has a mapped mate."""
+    return (flag.bitwiseAND(F.lit(0x1)) == 1) & (flag.bitwiseAND(F.lit(0xC)) == 0)
+
+
 def with_mates(reads: DataFrame) -> DataFrame:
     """laid reads with `mate` (pos, bases, quals; null if there is none to compare) and `first_mate`.
 
-    Reads of one name on a contig are paired off in order of position. One shuffle of reads by name."""
-    eligible = (F.col("flag").bitwiseAND(F.lit(0x1)) == 1) & (F.col("flag").bitwiseAND(F.lit(0xC)) == 0)
-    w = Window.partitionBy("chrom", "qname", eligible).orderBy("pos", "read_id")
-    mate = F.struct("pos", "strand", F.col("on_ref.bases").alias("bases"), F.col("on_ref.quals").alias("quals"))
-    first = F.row_number().over(w) % 2 == 1
-    out = reads.withColumns({"first_mate": first, "_next": F.lead(mate).over(w), "_last": F.lag(mate).over(w)})
-    out = out.withColumn("mate", F.when(~eligible, F.lit(None)).when(F.col("first_mate"), F.col("_next")).otherwise(F.col("_last")))
+    Reads of one name on a contig come and go in order of position. A read that comes is paired with the one that waits, if one does; else it waits,
+    until the next comes or any read of the name has gone (ends at or before the next one's start). So two reads are a pair if nothing of
+    their name comes or goes in between, and no read is in two. One shuffle of reads by name; those that can't pair have a key each."""
+    pairs = may_pair(F.col("flag"))
+    comes, goes = F.struct(F.col("pos").alias("at"), F.lit(1).alias("comes")), F.struct(F.col("ref_end").alias("at"), F.lit(0).alias("comes"))
+    slim = [c for c in reads.columns if c not in ("read_id", "qname", "chrom")]
+    events = reads.withColumn("_event", F.explode(F.when(pairs, F.array(comes, goes)).otherwise(F.array(comes))))
+    here = F.col("_event.comes") == 1
+    events = events.withColumns({"_name": F.when(pairs, F.col("qname")), "_lone": F.when(~pairs, F.col("read_id"))}).withColumns({c: F.when(here, F.col(c)) for c in slim})
+    w = Window.partitionBy("chrom", "_name", "_lone").orderBy("_event.at", "_event.comes", "read_id")
+    mate = F.when(here, F.struct("pos", "strand", F.col("on_ref.bases").alias("bases"), F.col("on_ref.quals").alias("quals")))
+    out = events.withColumns({"_n": F.row_number().over(w), "_next": F.lead(mate).over(w), "_last": F.lag(mate).over(w)})
+    since = F.coalesce(F.max(F.when(~here, F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    out = out.withColumn("first_mate", (F.col("_n") - since) % 2 == 1).where(here)
+    out = out.withColumn("mate", F.when(F.col("_name").isNull(), F.lit(None)).when(F.col("first_mate"), F.col("_next")).otherwise(F.col("_last")))
     same = (F.col("mate.strand") % 2 == F.col("strand") % 2) & (F.col("mate.pos") < F.col("ref_end")) & (F.col("pos") < F.col("mate.pos") + F.length("mate.bases"))
-    return out.withColumn("mate", F.when(same, F.struct("mate.pos", "mate.bases", "mate.quals"))).drop("_next", "_last")
+    return out.withColumn("mate", F.when(same, F.struct("mate.pos", "mate.bases", "mate.quals"))).drop("_next", "_last", "_n", "_event", "_name", "_lone")
 
 
 def at_sites(reads: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
@@ -112,7 +125,7 @@ def base_calls(reads: DataFrame, genome: DataFrame, options: ReadOptions, contex
         wanted = region_of_positions(wanted, regions)
         more.append("region_strand")
     ready = laid(selected(reads, genome, options, regions, mappability, span).select("read_id", "qname", "flag", "chrom", "pos", "ref_end", "strand", "cigar", "seq", "qual"), positions)
-    if mates:
+    if mates and not reads.where(may_pair(F.col("flag"))).isEmpty():  # reads of single ends are not shuffled
         ready = with_mates(ready)
     rows = at_sites(ready, binned(wanted, *more), small_genome(genome)).where(F.col("qual") >= options.min_phred)
     if regions is not None and options.keep_strand:

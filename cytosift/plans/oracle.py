@@ -61,10 +61,12 @@ def bases(source: str = "kept", mask: str = "FALSE", name: str = "bases") -> str
 
 
 def resolved(source: str = "kept", name: str = "bases") -> str:
-    """Bases with the quality that mates leave: reads of a name are paired in order, and both mates' bases at a place are compared."""
-    return f"""pairs AS (
-    SELECT read_id, (row_number() OVER (PARTITION BY chrom, qname ORDER BY pos, read_id) - 1) // 2 AS pair, row_number() OVER (PARTITION BY chrom, qname ORDER BY pos, read_id) % 2 AS first
-    FROM {source} WHERE flag & 1 = 1 AND flag & 12 = 0),
+    """Bases with the quality that mates leave: reads of a name come and go in order, two that come with nothing in between are a pair, and both mates' bases at a place are compared."""
+    return f"""may AS (SELECT * FROM {source} WHERE flag & 1 = 1 AND flag & 12 = 0),
+events AS (SELECT chrom, qname, read_id, pos AS place, 1 AS comes FROM may UNION ALL SELECT chrom, qname, read_id, ref_end, 0 FROM may),
+counted_ AS (SELECT *, row_number() OVER o AS k FROM events WINDOW o AS (PARTITION BY chrom, qname ORDER BY place, comes, read_id)),
+since AS (SELECT *, coalesce(max(CASE WHEN comes = 0 THEN k END) OVER (PARTITION BY chrom, qname ORDER BY k), 0) AS gone FROM counted_),
+pairs AS (SELECT read_id, gone * 1000000 + (k - gone - 1) // 2 AS pair, (k - gone) % 2 AS first FROM since WHERE comes = 1),
 both_ AS (SELECT b.*, p.pair, p.first FROM {name} b JOIN pairs p USING (read_id)),
 final AS (
     SELECT b.* REPLACE (CASE
@@ -107,8 +109,7 @@ def merged(live: str = "n_meth + n_unmeth > 0") -> str:
     FROM site WHERE {live} GROUP BY ALL)"""
 
 
-REGIONS = "regions AS (SELECT " + ", ".join(x.format(text="VARCHAR") for x in synth.REGION) + f" FROM part WHERE {synth.REGION_ROWS})"
-EVERY_REGION = "regions AS (SELECT " + ", ".join(x.format(text="VARCHAR") for x in synth.EVERY_REGION) + " FROM part)"
+REGIONS = "regions AS (SELECT " + ", ".join(x.format(text="VARCHAR") for x in synth.REGION) + " FROM part)"
 TRACK = f"""track AS (
     SELECT 'chr' || (o_orderkey % 5 + 1)::VARCHAR AS chrom, ((o_orderkey // 5) % {synth.LENGTH // 50}) * 50 AS start, start + 50 AS "end", (sum(o_custkey % 101) % 101)::INT AS value
     FROM orders GROUP BY ALL)"""

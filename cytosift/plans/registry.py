@@ -67,7 +67,7 @@ def read_filters(spark, sf_dir):
     return filter_reads(_reads(spark, sf_dir), ReadOptions()).select("read_id", "flag", "strand")
 
 
-@query(f"WITH {sql.READS}, {sql.kept(0, dupes=True, singleton=True, discordant=True, nh=True)} SELECT read_id, CASE WHEN flag & 1 = 1 THEN flag | 2 ELSE flag END AS flag, strand FROM kept")
+@query(f"WITH {sql.READS}, {sql.kept(0, dupes=True, singleton=True, discordant=True, nh=True)} SELECT read_id, CASE WHEN flag & 9 = 1 THEN flag | 2 ELSE flag END AS flag, strand FROM kept")
 def read_filters_keep_all(spark, sf_dir):
     options = ReadOptions(min_mapq=0, keep_dupes=True, keep_singleton=True, keep_discordant=True, ignore_nh=True)
     return filter_reads(_reads(spark, sf_dir), options).select("read_id", "flag", "strand")
@@ -234,31 +234,6 @@ def bed_stranded(spark, sf_dir):
     return ex.extract(_reads(spark, sf_dir), synth.genome(spark), ExtractOptions(contexts=ALL, keep_strand=True), _regions(spark, sf_dir))
 
 
-# The same three over a region of every part row, on all contigs.
-
-
-def _every_region(spark, sf_dir):
-    return synth.every_region(_table(spark, sf_dir, "part"))
-
-
-@query(f"WITH {sql.READS}, {sql.kept()}, {sql.EVERY_REGION} SELECT read_id, chrom, pos FROM kept k WHERE {_IN_REGION}")
-def bed_read_semijoin_all(spark, sf_dir):
-    return reads_in_regions(aligned(filter_reads(_reads(spark, sf_dir), ReadOptions())), _every_region(spark, sf_dir)).select("read_id", "chrom", "pos")
-
-
-@query(f"WITH {sql.GENOME}, {sql.EVERY_REGION}, {_REGION_OF} SELECT chrom, pos, context, region_strand FROM near WHERE region_strand IS NOT NULL")
-def bed_position_all(spark, sf_dir):
-    return region_of_positions(sites(synth.genome(spark)), _every_region(spark, sf_dir)).select("chrom", "pos", "context", "region_strand")
-
-
-@query(
-    f"{sql.counted(_ALL3, before=f'{sql.EVERY_REGION}, {_REGION_OF}, passed AS (SELECT * FROM kept k WHERE {_IN_REGION})', more='AND EXISTS (SELECT 1 FROM near x WHERE x.chrom = b.chrom AND x.pos = b.ref_pos AND (x.region_strand = 0 OR (x.region_strand = 1) = (b.strand % 2 = 1)))')}"
-    f" SELECT {sql.ROW}, {sql.PCT}, n_meth, n_unmeth FROM site {_LIVE}"
-)
-def bed_stranded_all(spark, sf_dir):
-    return ex.extract(_reads(spark, sf_dir), synth.genome(spark), ExtractOptions(contexts=ALL, keep_strand=True), _every_region(spark, sf_dir))
-
-
 _END = f"(SELECT {REGION[2]} + CASE WHEN l.base = 'C' AND n2.base = 'G' THEN 2 WHEN n1.base = 'G' THEN 1 ELSE 0 END FROM g l, g n1, g n2 WHERE l.chrom = '{REGION[0]}' AND n1.chrom = l.chrom AND n2.chrom = l.chrom AND l.pos = {REGION[2] - 1} AND n1.pos = {REGION[2]} AND n2.pos = {REGION[2] + 1})"
 _NEAR = f"passed AS (SELECT * FROM kept WHERE chrom = '{REGION[0]}' AND ref_end > {REGION[1]} AND pos < {_END})"
 _extract("region_extract", ExtractOptions(contexts=("CpG", "CHG"), region=REGION), f"{sql.counted(repr('CpG') + ', ' + repr('CHG'), before=_NEAR)} SELECT {sql.ROW}, {sql.PCT}, n_meth, n_unmeth FROM site {_LIVE} AND chrom = '{REGION[0]}' AND pos >= {REGION[1]} AND pos < {_END}")
@@ -333,3 +308,13 @@ def merge_context_bedgraph(spark, sf_dir):
 def per_read(spark, sf_dir):
     return per_read_plan(_reads(spark, sf_dir), synth.genome(spark))
 
+
+
+@query(f"""WITH {sql.GENOME}, {sql.READS}, picked AS (SELECT * FROM stranded WHERE mapq >= 10), {sql.bases('picked')},
+    steps AS (SELECT *, coalesce(qual < 5 AND lag(qual) OVER o < 5 AND lag(ref_pos) OVER o = ref_pos - 1, FALSE) AS goes_on FROM bases WINDOW o AS (PARTITION BY read_id ORDER BY ref_pos)),
+    runs AS (SELECT *, max(CASE WHEN NOT goes_on THEN nth END) OVER o AS began FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY ref_pos) AS nth FROM steps) WINDOW o AS (PARTITION BY read_id ORDER BY ref_pos)),
+    judged AS (SELECT * REPLACE (99 AS qual) FROM runs WHERE qual >= 5 OR (nth - began) % 2 = 1), {sql.calls('judged')},
+    s AS (SELECT read_id, count(*) FILTER (call = 1) AS m, count(*) AS k FROM calls WHERE own AND call <> 0 GROUP BY read_id)
+    SELECT p.read_id, p.qname, p.chrom, p.pos, coalesce(100.0::DOUBLE * m / k, 0) AS pct, coalesce(k, 0) AS n_informative FROM picked p LEFT JOIN s USING (read_id)""")
+def per_read_sequential(spark, sf_dir):
+    return per_read_plan(_reads(spark, sf_dir), synth.genome(spark), quality_rule="sequential")

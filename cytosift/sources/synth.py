@@ -88,23 +88,13 @@ def reads(lineitem: DataFrame) -> DataFrame:
     return made.select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "mate_chrom", "mate_pos", "xg", "nh")
 
 
-REGION = ["concat('chr', CAST(p_partkey % 5 + 1 AS {text})) AS chrom", "CAST((p_partkey*53) % 3900 AS BIGINT) AS start", 'CAST((p_partkey*53) % 3900 + 20 + p_size AS BIGINT) AS "end"', "CAST(p_partkey % 3 AS INT) AS strand"]
-#: Of parts, so that regions don't cover all.
-REGION_ROWS = "p_partkey % 20 = 0"
+#: Of every part, on every contig. Starts lie in the first 600 of each 1,000 positions, so that gaps stay whatever the number of parts.
+START = "CAST((p_partkey*53) % 3900 - (p_partkey*53) % 3900 % 1000 + (p_partkey*53) % 3900 % 1000 % 600 AS BIGINT)"
+REGION = ["concat('chr', CAST(p_partkey % 5 + 1 AS {text})) AS chrom", f"{START} AS start", f'{START} + 20 + p_size AS "end"', "CAST(p_partkey % 3 AS INT) AS strand"]
 
 
 def regions(part: DataFrame) -> DataFrame:
-    return part.where(REGION_ROWS).selectExpr(*[x.format(text="STRING").replace('"end"', "end") for x in REGION])
-
-
-#: Of all parts, on every contig. Starts lie in the first 600 of each 1,000 positions, so that gaps stay whatever the number of parts.
-EVERY_START = "CAST((p_partkey*53) % 3900 - (p_partkey*53) % 3900 % 1000 + (p_partkey*53) % 3900 % 1000 % 600 AS BIGINT)"
-EVERY_REGION = [REGION[0], f"{EVERY_START} AS start", f'{EVERY_START} + 20 + p_size AS "end"', REGION[3]]
-
-
-def every_region(part: DataFrame) -> DataFrame:
-    """A region of every part row; `regions` are of one in 20, all on chr1."""
-    return part.selectExpr(*[x.format(text="STRING").replace('"end"', "end") for x in EVERY_REGION])
+    return part.selectExpr(*[x.format(text="STRING").replace('"end"', "end") for x in REGION])
 
 
 def mappability(orders: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from cytosift.operators.sites import binned, sites
 from cytosift.options import ExtractOptions, ReadOptions
 from cytosift.plans import extract as ex
@@ -93,4 +94,77 @@ def test_lone_reads(spark, single, discordant, kept):
     rows = [(1, "a", 0x63, "c", 1, 60, None, None), (2, "b", 0x69, "c", 1, 60, None, None), (3, "c", 0x61, "c", 1, 60, None, None)]
     reads = spark.createDataFrame(rows, "read_id long, qname string, flag int, chrom string, pos long, mapq int, xg string, nh int")
     got = filter_reads(reads, ReadOptions(keep_singleton=single, keep_discordant=discordant)).collect()
-    assert len(got) == kept and all(r.flag & 2 for r in got)
+    assert len(got) == kept and {r.qname: r.flag for r in got} == {k: v for k, v in {"a": 0x63, "b": 0x69, "c": 0x63}.items() if k in {r.qname for r in got}}
+
+
+def test_mates_are_those_that_meet_in_the_pileup(spark):
+    """Against the events themselves: a read that comes meets the one that waits; any read of the name that goes clears the place."""
+    import random
+
+    from cytosift.operators.pileup import with_mates
+
+    r = random.Random(4)
+    rows = []
+    for name in range(120):
+        for _ in range(r.randint(1, 7)):
+            pos, n = r.randint(0, 60), r.choice((5, 20, 40))
+            rows.append((len(rows), f"q{name}", r.choice((0x63, 0x63, 0x63, 0x93, 0x0, 0x69)), "c", pos, pos + n, 1, "A" * n, [30] * n))
+    want = {}
+    for name in range(120):
+        own = [x for x in rows if x[1] == f"q{name}" and x[2] & 1 and not x[2] & 12]
+        events = sorted([(x[4], 1, x[0]) for x in own] + [(x[5], 0, x[0]) for x in own])
+        waits = None
+        for _, comes, i in events:
+            if not comes:
+                waits = None
+            elif waits is None:
+                waits = i
+            else:
+                want[i], want[waits], waits = waits, i, None
+    reads = spark.createDataFrame(rows, "read_id long, qname string, flag int, chrom string, pos long, ref_end long, strand int, bases string, quals array<int>")
+    reads = reads.withColumn("on_ref", F.struct("bases", "quals")).drop("bases", "quals")
+    got = with_mates(reads).collect()
+    assert len(got) == len(rows) and len(want) > 100
+    for x in got:
+        mate = rows[want[x.read_id]] if x.read_id in want else None
+        if mate is not None and not (mate[4] < x.ref_end and x.pos < mate[5]):
+            mate = None
+        assert (x.mate and (x.mate.pos, len(x.mate.bases))) == (mate and (mate[4], mate[5] - mate[4]))
+        if mate is not None:
+            assert x.first_mate == ((x.pos, x.read_id) < (mate[4], mate[0]))
+
+
+def test_low_quality_in_sequence(spark):
+    """A skipped base is followed by one that is judged whatever its quality."""
+    import random
+
+    from cytosift.plans.per_read import per_read
+
+    r = random.Random(6)
+    n, dna = 60, "ACG" * 20
+    genome = spark.createDataFrame([(0, "c", 60, 0, ".." + dna + "..")], "tid int, chrom string, length long, start long, seq string")
+    rows, want = [], {}
+    for i in range(60):
+        seq, qual = "".join(r.choice("CT") if x == "C" else x for x in dna), [r.choice((2, 2, 30)) for _ in range(n)]
+        rows.append((i, f"q{i}", 0, "c", 0, 60, [("M", n)], seq, qual, None, None))
+        at, m, k = 0, 0, 0
+        while at < n:
+            if qual[at] < 5:
+                at += 1
+            if at < n and dna[at] == "C":
+                k += 1
+                m += seq[at] == "C"
+            at += 1
+        want[i] = (100.0 * m / k if k else 0.0, k)
+    reads = spark.createDataFrame(rows, "read_id long, qname string, flag int, chrom string, pos long, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, xg string, nh int")
+    got = per_read(reads, genome, quality_rule="sequential").collect()
+    assert {x.read_id: (x.pct, x.n_informative) for x in got} == want
+    assert sum(x.n_informative for x in per_read(reads, genome).collect()) < sum(k for _, k in want.values())
+
+
+def test_single_ends_are_not_shuffled_by_name(spark):
+    from cytosift.operators.pileup import base_calls
+
+    reads = synth.reads(spark.read.parquet(f"{SF}/lineitem.parquet")).withColumn("flag", F.lit(0))
+    plan = base_calls(reads, synth.genome(spark), ReadOptions(), ("CpG",))._jdf.queryExecution().executedPlan().toString()
+    assert "qname" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x) and "Window" not in plan
