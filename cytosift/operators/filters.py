@@ -28,8 +28,10 @@ def read_filter(options: ReadOptions) -> Column:
 
 def filter_reads(reads: DataFrame, options: ReadOptions) -> DataFrame:
     """Reads that pass, with `strand`; paired reads whose mate is mapped get the proper-pair bit. A paired read that is neither first nor second is dropped."""
-    out = reads.where(read_filter(options)).withColumn("strand", strand_of_origin(F.col("flag"), F.col("xg"))).where("strand > 0")
     flag = F.col("flag")
+    # strand > 0, said of the flag itself, which a scan can test
+    stranded = ~has(flag, 0x1) | (flag.bitwiseAND(F.lit(0xC0)) != 0) | F.coalesce(F.substring("xg", 1, 1).isin("C", "G"), F.lit(False))
+    out = reads.where(read_filter(options) & stranded).withColumn("strand", strand_of_origin(flag, F.col("xg")))
     return out.withColumn("flag", F.when(flag.bitwiseAND(F.lit(0x9)) == 0x1, flag.bitwiseOR(F.lit(0x2))).otherwise(flag))
 
 
