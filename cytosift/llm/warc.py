@@ -31,6 +31,8 @@ from .components import connected_components
 
 #: Compressed bytes from which an archive is closed, and bytes of blocks that a reader holds as one batch.
 ARCHIVE_BYTES, READ_BYTES = 32 << 20, 4 << 20
+#: Compressed bytes that a reader unzips at first, and the level of compression.
+STEP_BYTES, LEVEL = 4096, 1
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _NEXT = re.compile(rb"\r\n\r\n(?=WARC/\d)")
@@ -94,7 +96,7 @@ def _write_members(records: DataFrame, path: str) -> None:
         for batch in batches:
             for row in zip(*(c.cast(pa.binary()) for c in batch.columns), strict=True):
                 for record in row:
-                    held.append(gzip.compress(record.as_buffer().to_pybytes() + _END.encode(), 6, mtime=0))
+                    held.append(gzip.compress(record.as_buffer().to_pybytes() + _END.encode(), LEVEL, mtime=0))
                     size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
@@ -117,53 +119,55 @@ def _parts(data: memoryview) -> Iterator[bytes]:
         return
     at = 0
     while bytes(data[at : at + 2]) == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        out = [one.decompress(data[at : at + READ_BYTES])]
-        at += READ_BYTES
+        one, out, step = zlib.decompressobj(31), [], STEP_BYTES
         while not one.eof and at < len(data):
-            out.append(one.decompress(data[at : at + READ_BYTES]))
-            at += READ_BYTES
-        at = min(at, len(data)) - len(one.unused_data)
+            # by small steps first, as what a call is given beyond the member's end is copied
+            out.append(one.decompress(data[at : at + step]))
+            at, step = min(at + step, len(data)), min(2 * step, READ_BYTES)
+        at -= len(one.unused_data)
         yield b"".join(out)
 
 
 def records_of(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of every record; a record may go over several parts, and a part hold several records."""
-    data, open_ = b"", True
+    data, at, open_ = b"", 0, True
 
     def more() -> bool:
-        nonlocal data, open_
+        nonlocal data, at, open_
         found = next(parts, None)
         if found is None:
             open_ = False
         else:
-            data += found
+            data, at = data[at:] + found, 0
         return open_
 
     while True:
-        data = data.lstrip(b"\r\n")
-        if not data:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at == len(data):
             if not more():
                 return
             continue
-        while (end := data.find(b"\r\n\r\n")) < 0 and more():
+        while (end := data.find(b"\r\n\r\n", at)) < 0 and more():
             pass
-        first, *lines = data[: end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")
+        first, *lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no record begins with {first[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4 if end >= 0 else len(data)
+        # places from here on are counted from at, which more() moves
+        start = (end + 4 if end >= 0 else len(data)) - at
         if headers.get("content-length", "").isdigit():
             stop = start + int(headers["content-length"])
-            while len(data) < stop and more():
+            while len(data) - at < stop and more():
                 pass
         else:
             # without a length the record ends where the next begins
-            while (found := _NEXT.search(data, max(0, start - 4))) is None and more():
+            while (found := _NEXT.search(data, at + max(0, start - 4))) is None and more():
                 pass
-            stop = found.start() if found else len(data.rstrip(b"\r\n"))
-        yield headers, data[start : max(start, stop)]
-        data = data[max(start, stop) :]
+            stop = (found.start() if found else len(data.rstrip(b"\r\n"))) - at
+        stop = max(start, stop)
+        yield headers, data[at + start : at + stop]
+        at = min(at + stop, len(data))
 
 
 def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
