@@ -34,7 +34,7 @@ EPOCHS = 4
 #: Of the fit: step size, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.001
 #: Letters from which a text is long enough to judge, and the score that it then needs.
-ENOUGH, LEAST = 100, 0.6
+ENOUGH, LEAST = 100, 0.45
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SHIFT = np.uint64(64 - 15)
 
