@@ -1,6 +1,6 @@
 """Exact dedup with a heavy-hitter split.
 
-One pass over the texts writes a slim table (key, digest). Misra-Gries summaries, one a partition and of at most
+One pass over the texts, in the JVM, writes a slim table (key, digest). Misra-Gries summaries, one a partition and of at most
 COUNTERS digests each, are merged; the CANDIDATES largest are counted exactly, which verifies them and finds their winners.
 That table of at most CANDIDATES rows is broadcast and resolves frequent digests on the map side, so no group of copies
 goes to one task. The rest, of which no digest is frequent, is grouped by an ordinary shuffle with partial aggregates.
@@ -11,7 +11,7 @@ repeated with the same key exactly one stays; an empty table gives an empty one;
 
 from __future__ import annotations
 
-import hashlib
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, by_batches, keyed, materialize
+from .common import bounded_broadcast, keyed, materialize
 
 COUNTERS = 512
 CANDIDATES = 512
@@ -27,15 +27,8 @@ CANDIDATES = 512
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest binary): SHA-256 of each text with A-Z in lower case."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # bytes.lower() changes A-Z alone
-            out = [hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").lower()).digest() for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "digest"])
-
-    return by_batches(docs.select(docs[key].alias("key"), docs[text].alias("text"))).mapInArrow(run, f"key {kind}, digest binary")
+    lower = F.translate(F.coalesce(docs[text], F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return docs.select(docs[key].alias("key"), F.unhex(F.sha2(lower, 256)).alias("digest"))
 
 
 class MisraGries:
