@@ -12,9 +12,9 @@ from .functions.strand import STRANDS
 from .options import ExtractOptions, ReadOptions, bounds, flags, region
 
 
-def _reads(p: argparse.ArgumentParser, per_read: bool = False) -> None:
-    p.add_argument("genome", help="FASTA")
-    p.add_argument("alignments", help="BAM, or a Parquet folder of the reads schema")
+def _reads(p: argparse.ArgumentParser, per_read: bool = False, files: str | None = None) -> None:
+    p.add_argument("genome", nargs=files, help="FASTA")
+    p.add_argument("alignments", nargs=files, help="BAM, or a Parquet folder of the reads schema")
     p.add_argument("-q", type=int, default=10, dest="min_mapq")
     p.add_argument("-p", type=int, default=5, dest="min_phred")
     p.add_argument("-r", type=region, dest="region")
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cytosift", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("extract", help="methylation of each cytosine")
-    _reads(p)
+    _reads(p, files="?")
     for name in STRANDS:
         p.add_argument(f"--{name}", type=bounds)
     p.add_argument("-o", dest="prefix")
@@ -56,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--variantMerge", choices=("reference", "either"), default="reference", dest="variant_merge")
     p.add_argument("-M", "--mappability", help="bigWig")
     p.add_argument("-B", "--mappabilityBBM", dest="bbm")
+    p.add_argument("-O", "--outputBBMFile", action="store_true", dest="write_bbm", help="write the bigWig as BBM, named like it; without genome and alignments that is all")
+    p.add_argument("-N", "--outputBBMFileName", dest="bbm_name", help="the same, by this name, without .bbm")
     p.add_argument("-t", "--mappabilityThreshold", type=float, default=0.01, dest="mappability_cutoff")
     p.add_argument("-b", "--minMappableBases", type=int, default=15, dest="min_mappable_bases")
     p = sub.add_parser("mbias", help="methylation by place in the read")
@@ -65,11 +67,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--noSVG", action="store_true")
     p = sub.add_parser("perRead", help="methylation of each read")
     _reads(p, True)
-    p.add_argument("-o", dest="out", required=True)
+    p.add_argument("-o", dest="out", help="standard output if not given")
     p = sub.add_parser("mergeContext", help="a bedGraph of cytosines to one of CpGs and CHGs")
     p.add_argument("genome")
     p.add_argument("bedgraph")
-    p.add_argument("-o", dest="out", required=True)
+    p.add_argument("-o", dest="out", help="standard output if not given")
     p = sub.add_parser("bigWigToBBM", help="a mappability bigWig as BBM")
     p.add_argument("bigwig")
     p.add_argument("-N", dest="out", required=True, help="name, without .bbm")
@@ -102,6 +104,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         options = _options(a, ExtractOptions if a.command == "extract" else ReadOptions) if a.command in ("extract", "mbias") else None
     except ValueError as e:
         parser().error(str(e))
+    bbm_wanted = a.command == "extract" and (a.write_bbm or a.bbm_name)
+    if bbm_wanted and not a.mappability:
+        parser().error("a BBM file is written from a bigWig: give -M")
+    if a.command == "extract" and not bbm_wanted and not a.alignments:
+        parser().error("extract takes a genome and alignments")
+    if (getattr(a, "alignments", None) or "").endswith(".cram"):
+        parser().error("CRAM is not read; convert it to BAM")
     from pyspark.sql import SparkSession
 
     from .plans import extract as ex
@@ -114,6 +123,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "bigWigToBBM":
         tracks.bigwig_to_bbm(spark, a.bigwig, f"{a.out}.bbm")
         return 0
+    if bbm_wanted:
+        tracks.bigwig_to_bbm(spark, a.mappability, f"{a.bbm_name or default_prefix(a.mappability)}.bbm")
+        if not a.alignments:
+            return 0
     genome = fasta.read_fasta(spark, a.genome)
     if a.command == "mergeContext":
         writers.write_merged(merge_context(tables.read_bedgraph(spark, a.bedgraph), genome), genome, a.out)

@@ -18,6 +18,8 @@ from .files import open_bytes, size
 #: Fixed values of the format: base codes, CIGAR operations, sizes of tag values.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
+#: From the hexadecimal digit of a base's code to the base.
+LETTERS = str.maketrans("0123456789abcdef", BASES)
 TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 TAG_FORMAT = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 SPLIT = 32 << 20
@@ -129,18 +131,20 @@ def decode(data: bytes, at: int, contigs: list[tuple[str, int]], number: int) ->
     p += l_name
     cigar = [{"op": OPS[v & 15], "len": v >> 4} for v in struct.unpack_from(f"<{n_ops}I", data, p)]
     p += 4 * n_ops
-    packed = data[p : p + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+    seq = data[p : p + (l_seq + 1) // 2].hex().translate(LETTERS)[:l_seq]
     p += (l_seq + 1) // 2
     qual = list(data[p : p + l_seq])
-    xg, nh = tags(data, p + l_seq, end)
+    xg, nh, long_cigar = tags(data, p + l_seq, end)
+    if long_cigar and len(cigar) == 2 and cigar[0] == {"op": "S", "len": l_seq} and cigar[1]["op"] == "N":
+        cigar = [{"op": OPS[v & 15], "len": v >> 4} for v in long_cigar]
     contig = lambda t: contigs[t][0] if t >= 0 else None
     return (number, name, flag, contig(tid), pos if pos >= 0 else None, mapq, cigar, seq, qual, contig(mate), mate_pos if mate_pos >= 0 else None, xg, nh)
 
 
-def tags(data: bytes, p: int, end: int) -> tuple[str | None, int | None]:
-    """The values of XG and NH."""
+def tags(data: bytes, p: int, end: int) -> tuple[str | None, int | None, tuple[int, ...]]:
+    """The values of XG and NH, and CG: the operations of a CIGAR of over 65,535, in whose place the record has one of soft clip and skip."""
     xg = nh = None
+    long_cigar: tuple[int, ...] = ()
     while p + 3 <= end:
         tag, kind = data[p : p + 2], chr(data[p + 2])
         p += 3
@@ -150,14 +154,17 @@ def tags(data: bytes, p: int, end: int) -> tuple[str | None, int | None]:
                 xg = data[p:stop].decode("ascii", "replace")
             p = stop + 1
         elif kind == "B":
-            p += 5 + TAG_BYTES[chr(data[p])] * struct.unpack_from("<i", data, p + 1)[0]
+            n = struct.unpack_from("<i", data, p + 1)[0]
+            if tag == b"CG" and data[p : p + 1] == b"I":
+                long_cigar = struct.unpack_from(f"<{n}I", data, p + 5)
+            p += 5 + TAG_BYTES[chr(data[p])] * n
         else:
             if tag == b"NH" and kind in TAG_FORMAT:
                 nh = struct.unpack_from(TAG_FORMAT[kind], data, p)[0]
             elif tag == b"XG" and kind == "A":
                 xg = chr(data[p])
             p += TAG_BYTES[kind]
-    return xg, nh
+    return xg, nh, long_cigar
 
 
 class _Part(InputPartition):

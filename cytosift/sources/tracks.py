@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.calls import mappability_value
-from ..operators.intervals import run_lengths
+from ..operators.intervals import RUN_CHUNK, run_lengths
 from ..schemas import MAPPABILITY
 from .files import create, open_bytes
 
@@ -78,39 +78,45 @@ def read_bbm(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, MAPPABILITY)
 
 
-def write_bbm(track: DataFrame, contigs: DataFrame, path: str) -> None:
+def write_bbm(track: DataFrame, contigs: DataFrame, path: str, chunk: int = RUN_CHUNK) -> None:
     """track (chrom, start, end, value) as one file, contigs in their order; what the track leaves out is 0.
 
-    Runs are encoded by contig on the executors; the driver streams one contig's bytes at a time into the file."""
+    Runs are encoded by chunks of a contig on the executors; the driver streams one chunk's bytes at a time into the file."""
     known = contigs.select("tid", "chrom", F.col("length").cast("long").alias("length"))
     cuts = track.select("chrom", "start", "end", "value").where("start < end")
-    filled = run_lengths(_filled(cuts, known), LONGEST)
+    filled = run_lengths(_filled(cuts, known, chunk), LONGEST, chunk).withColumn("chunk", F.floor(F.col("start") / chunk))
 
     def one(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("start")
         runs = zip((pdf["end"] - pdf["start"]).tolist(), pdf["value"].tolist(), strict=True)
-        return pd.DataFrame({"chrom": [key[0]], "data": [encode_runs(runs)]})
+        return pd.DataFrame({"chrom": [key[0]], "chunk": [key[1]], "data": [encode_runs(runs)]})
 
-    data = filled.groupBy("chrom").applyInPandas(one, "chrom string, data binary")
-    total = known.count()
+    data = filled.groupBy("chrom", "chunk").applyInPandas(one, "chrom string, chunk long, data binary")
+    total, last = known.count(), None
     with create(path) as out:
         out.write(struct.pack("<BI", VERSION, total))
-        for r in known.join(data, "chrom", "left").orderBy("tid").toLocalIterator():
-            name = r.chrom.encode("ascii")
-            out.write(struct.pack("<H", len(name)) + name + b"\0" + struct.pack("<I", r.length) + bytes(r.data or b""))
+        for r in known.join(data, "chrom", "left").orderBy("tid", "chunk").toLocalIterator():
+            if r.tid != last:
+                name = r.chrom.encode("ascii")
+                out.write(struct.pack("<H", len(name)) + name + b"\0" + struct.pack("<I", r.length))
+            out.write(bytes(r.data or b""))
+            last = r.tid
 
 
-def _filled(track: DataFrame, contigs: DataFrame) -> DataFrame:
-    """The track with rows of value 0 for what lies between, before and after its rows."""
+def _filled(track: DataFrame, contigs: DataFrame, chunk: int) -> DataFrame:
+    """The track, cut at chunks of a contig, with rows of value 0 for what lies between, before and after its rows. No task sees more than a chunk."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("chrom").orderBy("start")
     rows = track.join(F.broadcast(contigs.select("chrom", "length")), "chrom").withColumn("end", F.least("end", "length")).where("start < end")
-    last = F.coalesce(F.lag("end").over(w), F.lit(0))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))))
+    rows = rows.select("chrom", "chunk", F.greatest("start", F.col("chunk") * chunk).alias("start"), F.least("end", (F.col("chunk") + 1) * chunk).alias("end"), "value")
+    last = F.coalesce(F.lag("end").over(Window.partitionBy("chrom", "chunk").orderBy("start")), F.col("chunk") * chunk)
     before = rows.select("chrom", last.alias("start"), F.col("start").alias("end"), F.lit(0).alias("value"))
-    ends = contigs.join(rows.groupBy("chrom").agg(F.max("end").alias("last")), "chrom", "left").select("chrom", F.coalesce("last", F.lit(0)).alias("start"), F.col("length").alias("end"), F.lit(0).alias("value"))
+    every = contigs.where("length > 0").select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk))).alias("chunk"))
+    ends = every.join(rows.groupBy("chrom", "chunk").agg(F.max("end").alias("last")), ["chrom", "chunk"], "left")
+    ends = ends.select("chrom", F.coalesce("last", F.col("chunk") * chunk).alias("start"), F.least("length", (F.col("chunk") + 1) * chunk).alias("end"), F.lit(0).alias("value"))
     return rows.select("chrom", "start", "end", "value").union(before).union(ends).where("start < end")
 
 

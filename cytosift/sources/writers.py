@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from contextlib import nullcontext
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +24,30 @@ def track_line(name: str, context: str, output: str, merged: bool) -> str:
     return f'track type="bedGraph" description="{name} {context}{" merged" if merged else ""} {LEVELS[output]}"'
 
 
-def write_lines(rows: DataFrame, path: str, header: str | None = None) -> int:
-    """The column `value` of rows, in their order, as one file; returns how many."""
+def write_lines(rows: DataFrame, path: str | None, header: str | None = None) -> int:
+    """The column `value` of rows, in their order, as one file, or to standard output where path is None; returns how many."""
     n = 0
-    with create(path) as out:
+    with nullcontext(sys.stdout.buffer) if path is None else create(path) as out:
         if header is not None:
             out.write(header.encode() + b"\n")
         for r in rows.toLocalIterator(prefetchPartitions=True):
             out.write(r.value.encode() + b"\n")
             n += 1
+        out.flush()
     return n
 
 
 def write_extract(rows: DataFrame, genome: DataFrame, prefix: str, output: str, contexts: tuple[str, ...], merged: bool = False) -> list[str]:
-    """The files of `extract`: one per context, or the cytosine report; returns their paths."""
+    """The files of `extract`: one per context, or the cytosine report; returns their paths. Rows are computed once and kept on the executors'
+    disks: each file's sort reads them twice, for its bounds and for its rows."""
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _write_extract(rows, genome, prefix, output, contexts, merged)
+    finally:
+        rows.unpersist()
+
+
+def _write_extract(rows: DataFrame, genome: DataFrame, prefix: str, output: str, contexts: tuple[str, ...], merged: bool) -> list[str]:
     if output == "cytosine_report":
         path = f"{prefix}.cytosine_report.txt"
         write_lines(ordered(rows, genome, "pos").select(lines(rows, output).alias("value")), path)
@@ -47,12 +61,12 @@ def write_extract(rows: DataFrame, genome: DataFrame, prefix: str, output: str,
     return paths
 
 
-def write_merged(rows: DataFrame, genome: DataFrame, path: str) -> None:
+def write_merged(rows: DataFrame, genome: DataFrame, path: str | None) -> None:
     own = ordered(rows, genome)
     write_lines(own.select(lines(own, "bedgraph").alias("value")), path, MERGED_HEADER)
 
 
-def write_per_read(rows: DataFrame, genome: DataFrame, path: str) -> None:
+def write_per_read(rows: DataFrame, genome: DataFrame, path: str | None) -> None:
     own = ordered(rows, genome, "pos")
     pct = F.when(F.col("n_informative") == 0, "0.0").otherwise(printf(F.col("pct"), 6))
     write_lines(own.select(F.concat_ws("\t", "qname", "chrom", "pos", pct, "n_informative").alias("value")), path)

@@ -121,6 +121,8 @@ def test_bbm(spark, tmp_path):
     tracks.write_bbm(spark.createDataFrame(rows, "chrom string, start long, end long, value int"), contigs, path)
     got = tracks.read_bbm(spark, path)
     flat = lambda rows: [v for _, a, b, v in sorted(rows) for _ in range(a, b)]
+    tracks.write_bbm(spark.createDataFrame(rows, "chrom string, start long, end long, value int"), contigs, str(tmp_path / "chunks.bbm"), 1000)
+    assert (tmp_path / "chunks.bbm").read_bytes() == (tmp_path / "t.bbm").read_bytes()
     assert flat(tuple(r) for r in got.where("chrom = 'c1'").collect()) == flat(rows) + [0] * 10
     assert flat(tuple(r) for r in got.where("chrom = 'none'").collect()) == [0] * 40
     assert got.selectExpr("max(end - start)").first()[0] == 65_535
@@ -154,6 +156,13 @@ def test_bigwig(spark, tmp_path, compress):
     rows = sorted((r.chrom, r.start, r.end, r.value) for r in tracks.as_mappability(tracks.read_bigwig(spark, str(path), 1)).collect())
     assert rows == [("chrA", 0, 10, 50), ("chrA", 20, 30, 100), ("chrB", 5, 8, 25), ("chrB", 30, 33, 13), ("chrB", 50, 54, 10), ("chrB", 60, 64, 20), ("chrB", 70, 74, 0)]
     assert cli.main(["bigWigToBBM", str(path), "-N", str(tmp_path / "out")], spark) == 0
+    assert cli.main(["extract", "-M", str(path), "-O"], spark) == 0
+    assert (tmp_path / "t.bbm").read_bytes() == (tmp_path / "out.bbm").read_bytes()
+    assert cli.main(["extract", "-M", str(path), "-N", str(tmp_path / "named")], spark) == 0
+    assert (tmp_path / "named.bbm").read_bytes() == (tmp_path / "out.bbm").read_bytes()
+    for wrong in (["extract", "-O"], ["extract", "g.fa"], ["extract", "g.fa", "x.cram"]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong, spark)
     back = tracks.read_bbm(spark, str(tmp_path / "out.bbm")).where("value = 25").collect()
     assert [tuple(r) for r in back] == [("chrB", 5, 8, 25)]
 
@@ -164,7 +173,19 @@ def test_run_lengths(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("c", 0, 4, 1), ("c", 4, 8, 1), ("c", 8, 9, 1), ("c", 9, 12, 2), ("c", 20, 22, 2), ("d", 0, 3, 2)]
 
 
-def test_commands(spark, tmp_path, genome_file, capsys):
+def test_long_cigar():
+    def record(cigar, extra):
+        body = struct.pack("<iiBBHHHiiii", 0, 7, 2, 30, 0, len(cigar), 0, 5, -1, -1, 0) + b"r\0" + struct.pack(f"<{len(cigar)}I", *cigar) + b"\x12\x48\xf0" + bytes(5) + extra
+        return struct.pack("<i", len(body)) + body
+
+    real = [2 << 4 | 0, 1 << 4 | 1, 2 << 4 | 0]
+    row = bam.decode(record([5 << 4 | 4, 4 << 4 | 3], b"CGBI" + struct.pack("<i3I", 3, *real) + b"NHC\x02"), 0, [("c", 100)], 0)
+    assert [(c["op"], c["len"]) for c in row[6]] == [("M", 2), ("I", 1), ("M", 2)] and row[7] == "ACGTN" and row[12] == 2
+    short = bam.decode(record([5 << 4 | 0], b"CGBI" + struct.pack("<i3I", 3, *real)), 0, [("c", 100)], 0)
+    assert [(c["op"], c["len"]) for c in short[6]] == [("M", 5)]
+
+
+def test_commands(spark, tmp_path, genome_file, capfdbinary):
     path = tmp_path / "x.bam"
     bam_file(path, made_reads(600, 2))
     (tmp_path / "r.bed").write_text("chrA\t50\t200\tn\t0\t+\nchrB\t0\t150\tn\t0\t.\n")
@@ -192,10 +213,12 @@ def test_commands(spark, tmp_path, genome_file, capsys):
     assert run("perRead", genome_file, path, "-o", tmp_path / "p.tsv") == 0
     per = [x.split("\t") for x in (tmp_path / "p.tsv").read_text().splitlines()]
     assert len(per) == reads.where("mapq >= 10 AND chrom IS NOT NULL").count() and any(x[3] == "0.0" and x[4] == "0" for x in per)
-    capsys.readouterr()
+    assert run("mergeContext", genome_file, tmp_path / "x_CpG.bedGraph") == 0 and run("perRead", genome_file, path) == 0
+    said = capfdbinary.readouterr().out
+    assert said.endswith((tmp_path / "p.tsv").read_bytes()) and (tmp_path / "merged").read_bytes() in said
     assert run("mbias", genome_file, path, tmp_path / "b", "-q", 0, "--txt") == 0
-    said = capsys.readouterr()
-    assert said.out.startswith(writers.MBIAS_HEADER) and "--O" in said.err
+    said = capfdbinary.readouterr()
+    assert said.out.startswith(writers.MBIAS_HEADER.encode()) and b"--O" in said.err
     plots = [tmp_path / f"b_{s}.svg" for s in STRANDS if (tmp_path / f"b_{s}.svg").exists()]
     assert plots and all(p.read_text().startswith("<svg") for p in plots)
     (tmp_path / "only.fa").write_text(">chrA\nACGT\n")
