@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytosift.operators.sites import binned, sites
 from cytosift.options import ExtractOptions, ReadOptions
 from cytosift.plans import extract as ex
-from cytosift.plans import registry
+from cytosift.plans import file_queries, registry  # noqa: F401
 from cytosift.sources import synth
 from cytosift.streaming import site_counts
 
