@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import ExtractOptions
-from ..sources import fasta, synth, tables, tracks, writers
+from ..sources import bam, fasta, synth, tables, tracks, writers
 from ..sources.files import create, scratch
 from . import extract as ex
 from . import mbias as mb
@@ -117,6 +117,15 @@ def file_bbm(spark, sf_dir):
     return tracks.read_bbm(spark, path)
 
 
+@query(ORACLE_SQL["extract_merge_cpg"])
+def file_bam(spark, sf_dir):
+    """Every field of a read decides here: flags, tags, mates, CIGAR, bases and qualities, and its place in the file where mates begin at one position.
+    So the file is in the order of positions, then of read_id."""
+    path, genome = scratch(spark, "reads") + "/reads.bam", synth.genome(spark)
+    bam.write_bam(_reads(spark, sf_dir).orderBy("chrom", "pos", "read_id"), genome, path)
+    return ex.extract(bam.read_bam(spark, path, 1 << 20), genome, ExtractOptions(contexts=("CpG",), merge_context=True))
+
+
 @query(ORACLE_SQL["trinuc_context"].replace("SELECT chrom, pos, tnc", "SELECT chrom, pos, tnc, context"))
 def file_fasta(spark, sf_dir):
     from ..operators.sites import MARGIN, sites

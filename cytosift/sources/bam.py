@@ -9,11 +9,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import READS
-from .files import open_bytes, size
+from .files import create, open_bytes, size
 
 #: Fixed values of the format: base codes, CIGAR operations, sizes of tag values.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -23,6 +24,13 @@ LETTERS = str.maketrans("0123456789abcdef", BASES)
 TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 TAG_FORMAT = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 SPLIT = 32 << 20
+#: Records, and their bases, that an Arrow batch holds at most (one longer record comes alone).
+BATCH_ROWS, BATCH_BASES = 4096, 1 << 20
+ARROW = pa.schema([
+    ("read_id", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()),
+    ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("seq", pa.string()), ("qual", pa.list_(pa.int32())),
+    ("mate_chrom", pa.string()), ("mate_pos", pa.int64()), ("xg", pa.string()), ("nh", pa.int32()),
+])
 #: Records that must follow each other for a place to count as the beginning of one.
 CHAIN = 5
 
@@ -167,6 +175,10 @@ def tags(data: bytes, p: int, end: int) -> tuple[str | None, int | None, tuple[i
     return xg, nh, long_cigar
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 class _Part(InputPartition):
     def __init__(self, number: int, start: int, end: int):
         self.number, self.start, self.end = number, start, end
@@ -180,14 +192,15 @@ class BamReader(DataSourceReader):
         total = size(self.path)
         return [_Part(i, at, min(at + self.split, total)) for i, at in enumerate(range(0, total, self.split))]
 
-    def read(self, part: _Part):
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         contigs, first_block, first_at = header(self.path)
         lengths = [n for _, n in contigs]
         with open_bytes(self.path) as data:
             start = first_block if part.start <= first_block < part.end else None if first_block >= part.end else next_block(data, part.start, part.end)
             if start is None:
                 return
-            at, held, number, over = (first_at, b"", 0, False) if start == first_block else (None, b"", 0, False)
+            at, held, number = (first_at if start == first_block else None), b"", 0
+            rows, size_of = [], 0
             for offset, block in blocks(data, start):
                 # beyond the end only the rest of a record begun before it is read
                 limit = len(held) if offset >= part.end else None
@@ -200,13 +213,17 @@ class BamReader(DataSourceReader):
                     end = at + 4 + struct.unpack_from("<i", held, at)[0]
                     if end > len(held):
                         break
-                    yield decode(held, at, contigs, (part.number << 40) + number)
+                    rows.append(decode(held, at, contigs, (part.number << 40) + number))
                     number, at = number + 1, end
+                    size_of += len(rows[-1][7])
+                    if len(rows) == BATCH_ROWS or size_of >= BATCH_BASES:
+                        yield _batch(rows)
+                        rows, size_of = [], 0
                 if limit is not None and at >= limit:
-                    over = True
-                if over:
-                    return
+                    break
                 held, at = held[at:], 0
+        if rows:
+            yield _batch(rows)
 
 
 class BamSource(DataSource):
@@ -232,3 +249,68 @@ def read_bam(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(header(path)[0])], "tid int, chrom string, length long")
+
+
+#: Of the format (fixed values): bytes that a block holds, the empty block that ends a file, sizes of bins as shifts with the number of the first bin.
+BLOCK = 0xFF00
+LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+BINS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
+CODES = str.maketrans(BASES, "0123456789abcdef")
+
+
+def bgzf(data: bytes) -> bytes:
+    """The bytes as BGZF blocks, without the one that ends a file."""
+    out = []
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = pack.compress(part) + pack.flush()
+        out.append(struct.pack("<4BIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out)
+
+
+def bin_of(start: int, end: int) -> int:
+    """The smallest bin of the index that holds [start, end)."""
+    return next((first + (start >> shift) for shift, first in BINS if start >> shift == (end - 1) >> shift), 0)
+
+
+def encode(row: dict, numbers: dict[str, int]) -> bytes:
+    """A row of the reads schema as one record; read_id is not kept."""
+    name, seq = row["qname"].encode("ascii", "replace") + b"\0", row["seq"] or ""
+    pos = -1 if row["pos"] is None else row["pos"]
+    ops = [c["len"] << 4 | OPS.index(c["op"]) for c in row["cigar"] or []]
+    span = sum(c["len"] for c in row["cigar"] or [] if c["op"] in "MDN=X")
+    more = b"".join(([b"XGZ" + row["xg"].encode("ascii", "replace") + b"\0"] if row["xg"] is not None else []) + ([b"NHi" + struct.pack("<i", row["nh"])] if row["nh"] is not None else []))
+    if len(ops) > 0xFFFF:
+        more += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
+        ops = [len(seq) << 4 | OPS.index("S"), span << 4 | OPS.index("N")]
+    packed = bytes.fromhex((seq + "=" * (len(seq) % 2)).translate(CODES))
+    quals = bytes(row["qual"]) if row["qual"] else b"\xff" * len(seq)
+    mate_pos = -1 if row["mate_pos"] is None else row["mate_pos"]
+    head = struct.pack(
+        "<iiBBHHHiiii", numbers.get(row["chrom"], -1), pos, len(name), row["mapq"], bin_of(pos, pos + max(1, span)) if pos >= 0 else 4680, len(ops), row["flag"], len(seq),
+        numbers.get(row["mate_chrom"], -1), mate_pos, 0,
+    )
+    body = head + name + struct.pack(f"<{len(ops)}I", *ops) + packed + quals + more
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(reads: DataFrame, contigs: DataFrame, path: str) -> None:
+    """Reads as one BAM file, in the order of their partitions. Blocks are made on the executors; the driver holds one partition's blocks at a time."""
+    known = [(r.chrom, r.length) for r in contigs.select("tid", "chrom", "length").distinct().orderBy("tid").collect()]  # a row a contig
+    numbers = {name: i for i, (name, _) in enumerate(known)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                data = b"".join(encode(row, numbers) for row in batch.slice(at, 500).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([bgzf(data)], pa.binary())], ["data"])
+
+    head = b"BAM\x01" + struct.pack("<ii", 0, len(known))
+    for name, length in known:
+        head += struct.pack("<i", len(name) + 1) + name.encode("ascii") + b"\0" + struct.pack("<i", length)
+    with create(path) as out:
+        out.write(bgzf(head))
+        for r in reads.select(*[f.name for f in ARROW]).mapInArrow(run, "data binary").toLocalIterator():
+            out.write(r.data)
+        out.write(LAST)

@@ -71,6 +71,23 @@ def test_bam_whole_and_split(spark, tmp_path):
     assert [tuple(r) for r in bam.read_contigs(spark, str(path)).collect()] == [(0, "chrA", 500), (1, "chrB", 300)]
 
 
+def test_written_bam(spark, tmp_path):
+    """What is written comes back: unplaced reads, missing tags and mates, a CIGAR of over 65,535 operations."""
+    bam_file(tmp_path / "x.bam", made_reads(300, 5))
+    columns = [f.name for f in bam.ARROW][1:]
+    first = bam.read_bam(spark, str(tmp_path / "x.bam"))
+    many = [{"op": "MI"[i % 2], "len": 1} for i in range(70_001)]
+    size = len(many)
+    long = spark.createDataFrame([(0, "long", 0, "chrB", 10, 60, many, "ACGTN" * (size // 5) + "A" * (size % 5), [7] * size, None, None, None, 1)], first.schema)
+    both = first.unionByName(long)
+    bam.write_bam(both, bam.read_contigs(spark, str(tmp_path / "x.bam")), str(tmp_path / "y.bam"))
+    for split in (1 << 25, 3000):
+        again = bam.read_bam(spark, str(tmp_path / "y.bam"), split)
+        assert sorted(map(repr, again.select(*columns).collect())) == sorted(map(repr, both.select(*columns).collect()))
+    assert [tuple(r) for r in bam.read_contigs(spark, str(tmp_path / "y.bam")).collect()] == [(0, "chrA", 500), (1, "chrB", 300)]
+    assert (tmp_path / "y.bam").read_bytes().endswith(bam.LAST) and bam.bin_of(0, 16384) == 4681 and bam.bin_of(16383, 16385) == 585
+
+
 SEQS = {k: "".join(random.Random(k).choices("ACGTCG", k=n)) for k, n in CONTIGS}
 
 
