@@ -48,23 +48,26 @@ def file_merged_bedgraph(spark, sf_dir):
     return tables.read_bedgraph(spark, path, genome)
 
 
+#: By output: its SQL, column and type.
 _VALUES = {
-    "fraction": ("fraction", "printf('%.6f', n_meth / (n_meth + n_unmeth))::DOUBLE AS fraction", "fraction double"),
-    "counts": ("counts", "n_meth + n_unmeth AS coverage", "coverage long"),
+    "fraction": ("printf('%.6f', n_meth / (n_meth + n_unmeth))::DOUBLE", "fraction", "double"),
+    "counts": ("n_meth + n_unmeth", "coverage", "long"),
+    "logit": ("CASE WHEN n_meth = 0 THEN '-inf'::DOUBLE WHEN n_unmeth = 0 THEN 'inf'::DOUBLE ELSE printf('%.6f', ln(n_meth / (n_meth + n_unmeth)) - ln(1 - n_meth / (n_meth + n_unmeth)))::DOUBLE END", "logit", "double"),
 }
 
 
-def _values(name: str, output: str, oracle: str, column: str) -> None:
+def _values(output: str, oracle: str, column: str, kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         (path,) = _written(spark, sf_dir, ExtractOptions(output=output))
-        return _tsv(spark, path, f"chrom string, start long, end long, {column}", True)
+        # a cast, unlike the CSV reader, knows `inf`
+        return _tsv(spark, path, f"chrom string, start long, end long, {column} string", True).withColumn(column, F.col(column).cast(kind))
 
-    run.__name__ = name
-    query(f'{sql.counted()} SELECT chrom, pos AS start, pos + 1 AS "end", {oracle} FROM site WHERE n_meth + n_unmeth > 0')(run)
+    run.__name__ = f"file_{output}"
+    query(f'{sql.counted()} SELECT chrom, pos AS start, pos + 1 AS "end", {oracle} AS {column} FROM site WHERE n_meth + n_unmeth > 0')(run)
 
 
-for _output, _oracle, _column in _VALUES.values():
-    _values(f"file_{_output}", _output, _oracle, _column)
+for _output, _given in _VALUES.items():
+    _values(_output, *_given)
 
 
 @query(f"""{sql.counted()} SELECT chrom || '.' || (pos + 1)::VARCHAR AS chrBase, chrom AS chr, pos + 1 AS base, CASE ref WHEN 'C' THEN 'F' ELSE 'R' END AS strand, n_meth + n_unmeth AS coverage,
