@@ -88,17 +88,19 @@ def trinuc_context(spark, sf_dir):
     return sites(synth.genome(spark)).select("chrom", "pos", "tnc")
 
 
-def _bases(reads: DataFrame) -> DataFrame:
-    """Every aligned base of laid reads."""
+def _bases(reads: DataFrame, *more: str) -> DataFrame:
+    """Every aligned base of laid reads, with more of their columns."""
     rows = reads.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("on_ref.bases") - 1)))
-    return rows.select("read_id", "strand", F.get("on_ref.qpos", F.col("i")).cast("long").alias("qpos"), (F.col("pos") + F.col("i")).alias("ref_pos"), F.substring("on_ref.bases", F.col("i") + 1, F.lit(1)).alias("base"), F.get("on_ref.quals", F.col("i")).alias("qual"), F.col("chrom")).where("base <> '-'")
+    return rows.select("read_id", "strand", F.get("on_ref.qpos", F.col("i")).cast("long").alias("qpos"), (F.col("pos") + F.col("i")).alias("ref_pos"), F.substring("on_ref.bases", F.col("i") + 1, F.lit(1)).alias("base"), F.get("on_ref.quals", F.col("i")).alias("qual"), F.col("chrom"), *more).where("base <> '-'")
 
 
 @query(f"WITH {sql.GENOME}, {sql.READS}, {sql.kept()}, {sql.bases()} SELECT ln % 3 AS kind, count(*) AS n, sum(qpos)::BIGINT AS s_qpos, sum(ref_pos)::BIGINT AS s_ref, sum(qpos * ref_pos)::BIGINT AS s_both, sum(qual)::BIGINT AS s_qual FROM bases GROUP BY ALL")
 def cigar_explode(spark, sf_dir):
-    rows = _bases(laid(filter_reads(_reads(spark, sf_dir), ReadOptions()), positions=True).withColumn("chrom", F.lit("")))
-    kind = F.expr("(((read_id div 10007) div 200003) % 8) % 3")
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("qpos").alias("s_qpos"), F.sum("ref_pos").alias("s_ref"), F.sum(F.col("qpos") * F.col("ref_pos")).alias("s_both"), F.sum("qual").alias("s_qual"))
+    # read_id tells the line number only of keys as small as its digits; the CIGAR tells it of all: nM, 10M2I.., 5S..
+    kind = F.when(F.size("cigar") == 1, 0).when(F.col("cigar")[0]["op"] == "M", 1).otherwise(2).cast("long")
+    reads = filter_reads(_reads(spark, sf_dir), ReadOptions()).withColumn("kind", kind)
+    rows = _bases(laid(reads, positions=True), "kind")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("qpos").alias("s_qpos"), F.sum("ref_pos").alias("s_ref"), F.sum(F.col("qpos") * F.col("ref_pos")).alias("s_both"), F.sum("qual").alias("s_qual"))
 
 
 @query(f"WITH {sql.GENOME}, {sql.READS}, {sql.kept()}, {sql.bases()}, {sql.calls('bases', contexts=repr('CpG') + ',' + repr('CHG') + ',' + repr('CHH'))} SELECT chrom, context, own, call, variant, count(*) AS n FROM (SELECT chrom, context, own, CASE WHEN own THEN call ELSE 0 END AS call, NOT own AND variant AS variant FROM calls) GROUP BY ALL")

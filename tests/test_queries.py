@@ -38,6 +38,17 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, map(tidy, got.select(*cols).collect()))) == sorted(map(repr, map(tidy, rows)))
 
 
+def test_cigar_explode_on_large_keys(spark, tmp_path):
+    """Part and supplier keys beyond the digits that read_id gives them."""
+    con = duckdb.connect()
+    shifted = "l_orderkey + 8850000 AS l_orderkey, l_partkey + 1180000 AS l_partkey, l_suppkey + 59000 AS l_suppkey"
+    con.sql(f"COPY (SELECT * REPLACE ({shifted}) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = registry.QUERIES["cigar_explode"](spark, str(tmp_path))
+    assert got.columns == (want := con.sql(registry.ORACLE_SQL["cigar_explode"])).columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_entry():
     import __spark_entry__ as entry
 
