@@ -31,11 +31,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reads(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     cores = spark.sparkContext.defaultParallelism
     # a table of one small file would be read, and its reads made, by one task
-    return synth.reads(lines if lines.rdd.getNumPartitions() >= cores else lines.repartition(cores))
+    return synth.reads(lines if lines.rdd.getNumPartitions() >= cores else lines.repartition(cores), ordered)
 
 
 def query(oracle: str):

@@ -258,3 +258,34 @@ def test_plot():
     text = svg.plot([svg.Point(1, i, 0.5, 0.4, 0.6) for i in range(1, 90)] + [svg.Point(2, 1, 0.2, 0.1, 0.3)], "a < b", {1: (5, 80)})
     assert "a &lt; b" in text and text.count("<polyline") == 2 and text.count("stroke-dasharray") == 2
     assert svg.plot([], "none").endswith("</svg>\n") and svg.steps(0, 100, 10) == [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
+
+
+def test_bam_by_columns_as_one_by_one(tmp_path):
+    """Batches of columns are what rows give one by one, both ways; what columns don't provide for is taken by rows."""
+    import pyarrow as pa
+
+    contigs, r = [("chrA", 500), ("chrB", 300)], random.Random(8)
+    numbers = {"chrA": 0, "chrB": 1}
+    rows = []
+    for i in range(400):
+        n = r.choice((0, 1, 30, 31))
+        cigar = [{"op": r.choice("MIDNSHP=X"), "len": r.randint(1, 40)} for _ in range(r.randint(0, 4))]
+        rows.append({
+            "read_id": i, "qname": f"q{i}", "flag": r.randrange(4096), "chrom": r.choice((None, "chrA", "chrB", "chrC")), "pos": r.choice((None, 0, 7, 16_383, 40_000)), "mapq": r.randrange(256), "cigar": cigar or r.choice((None, [])), "seq": "".join(r.choices("ACGTN", k=n)) if n else r.choice((None, "")),
+            "qual": [r.randrange(94) for _ in range(n)] if r.random() < 0.8 else r.choice((None, [])), "mate_chrom": r.choice((None, "chrB")), "mate_pos": r.choice((None, 5)), "xg": r.choice((None, "", "CT", "GA")), "nh": r.choice((None, -3, 1, 2)),
+        })
+    batch = pa.RecordBatch.from_pylist(rows, schema=bam.ARROW)
+    for part in (batch, batch.slice(37, 100), batch.slice(0, 0)):
+        want = b"".join(bam.encode(row, numbers) for row in part.to_pylist())
+        assert bam._records(part, numbers) == want
+    more = [b"", b"NHC\x02", b"XGAC", b"MDZ3AC\0BCBs" + struct.pack("<ihh", 2, 1, 2) + b"NHs\xff\xff", b"NHI\1\0\0\0NHc\x05XGZ\0", b"XXZabc\0XGZCT\0XXf\0\0\0\0"]
+    data, starts = b"", []
+    for row in rows:
+        starts.append(len(data))
+        body = bam.encode(row, numbers)[4:] + r.choice(more)
+        data += struct.pack("<i", len(body)) + body
+    assert bam._columns(data, bam.np.array(starts), contigs, 5).equals(bam._batch([bam.decode(data, at, contigs, 5 + i) for i, at in enumerate(starts)]))
+    odd = [rows[0] | {"qname": "é"}, rows[1] | {"cigar": [{"op": "M", "len": 1}] * 70_000}]
+    batch = pa.RecordBatch.from_pylist(odd, schema=bam.ARROW)
+    data = bam.encoded(batch, numbers)
+    assert data == b"".join(bam.encode(row, numbers) for row in odd) and len(bam.decoded(data, [0, 4 + struct.unpack_from("<i", data)[0]], contigs, 0).column("cigar")[1]) == 70_000
